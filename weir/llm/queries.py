@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
     "op7_bpe": bpe.op7_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": warc.OP4_SQL,
+}
