@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, warc
+from . import bpe, line_dedup, warc
 
 QUERIES = {
     "op4_warc": warc.op4_warc,
     "op7_bpe": bpe.op7_bpe,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.OP4_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
 }
