@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, warc
+from . import bpe, license_scan, line_dedup, warc
 
 QUERIES = {
+    "op1_license": license_scan.op1_license,
     "op4_warc": warc.op4_warc,
     "op7_bpe": bpe.op7_bpe,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_license": license_scan.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
