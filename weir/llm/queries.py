@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, line_dedup, warc
+from . import bpe, license_scan, line_dedup, quality, warc
 
 QUERIES = {
     "op1_license": license_scan.op1_license,
     "op4_warc": warc.op4_warc,
+    "op5_quality": quality.op5_quality,
     "op7_bpe": bpe.op7_bpe,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
