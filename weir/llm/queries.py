@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, license_scan, line_dedup, quality, warc
+from . import bpe, fingerprint, language_id, license_scan, line_dedup, quality, warc
 
 QUERIES = {
     "op1_license": license_scan.op1_license,
+    "op2_language": language_id.op2_language,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
