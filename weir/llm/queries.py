@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, language_id, license_scan, line_dedup, quality, warc
+from . import bpe, fingerprint, jaccard_join, language_id, license_scan, line_dedup, quality, warc
 
 QUERIES = {
     "op1_license": license_scan.op1_license,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
     "op7_bpe": bpe.op7_bpe,
+    "op8_jaccard": jaccard_join.op8_jaccard,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_license": license_scan.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op8_jaccard": jaccard_join.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
