@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Words of the near-duplicate and quality operators: everything between ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folders: dict[str, str] = {}
 
 
@@ -36,10 +37,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and it survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Writes Parquet; the shuffle files of the query go when it has ended, as nothing reads them again."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any longer."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, fresh_path
+from .common import drop_path, fresh_path, write
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,12 +33,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     path, seen = fresh_path(spark, "edges"), None
-    edges.select("u", "v").where("u <> v").distinct().write.parquet(path)
+    write(edges.select("u", "v").where("u <> v").distinct(), path)
     while True:
         now = spark.read.parquet(path)
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
         if sums == seen or not sums[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen, old, path = sums, path, fresh_path(spark, "edges")
-        _star(_star(now, True), False).write.parquet(path)
+        write(_star(_star(now, True), False), path)
         drop_path(spark, old)

@@ -139,7 +139,7 @@ class Scheme:
             total = spread_tokens.sum(dtype=np.uint64)
             for j in range(self.deletions(s) + 1):
                 gone = np.array([sum(map(int, x)) & (1 << 64) - 1 for x in itertools.combinations(spread_tokens, j)], np.uint64)
-                found.append(mix(total - gone + _U(s - j) * _U(0xE7037ED1A0B428DB)))
+                found.append(mix(total - gone + _U((s - j) * 0xE7037ED1A0B428DB & (1 << 64) - 1)))
         if s > self.light or s * 100 >= (self.light + 1) * self.percent:
             slot = mix(tokens) >> _U(32)
             for c in (self.class_of(s), self.class_of(s) + 1):

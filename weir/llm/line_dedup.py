@@ -51,9 +51,12 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
     return common.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
-def line_dedup(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, spare_whole: bool = False) -> DataFrame:
     """``pages`` with ``text_col`` without boilerplate lines, and n_lines and n_dropped.
 
+    With ``spare_whole``, a page with no other visible lines keeps them: it is one of many
+    copies rather than a page with a site's furniture.
+
     The table of hosts is written first: it is broadcast only if its known size is under
     Spark's threshold, and otherwise a shuffled join takes it, whose hot host Spark splits.
     """
@@ -61,6 +64,8 @@ def line_dedup(pages: DataFrame, host_col: str, text_col: str, ratio: float = RA
     joined = pages.join(found, F.col(host_col) == F.col("__host"), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = let(F.coalesce("__hashes", F.array().cast("array<long>")), lambda known: F.filter(lines, lambda x: ~(F.array_contains(known, F.xxhash64(x)) & _visible(x))))
+    if spare_whole:
+        kept = let(kept, lambda x: F.when(F.exists(x, _visible), x).otherwise(lines))
     return (
         joined.withColumn("__kept", kept)
         .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
