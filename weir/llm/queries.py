@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard_join, language_id, license_scan, line_dedup, quality, warc
+from . import bpe, fingerprint, jaccard_join, language_id, license_scan, line_dedup, mixing, quality, suffix_dedup, warc
 
 QUERIES = {
     "op1_license": license_scan.op1_license,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
+    "op6_suffix": suffix_dedup.op6_suffix,
     "op7_bpe": bpe.op7_bpe,
     "op8_jaccard": jaccard_join.op8_jaccard,
+    "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
