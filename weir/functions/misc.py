@@ -92,7 +92,7 @@ def cast(v: Arg, target: Arg) -> Column:
     if name == "boolean" and text:
         low = F.lower(v.col)
         return F.when(low.isin("true", "1"), True).when(low.isin("false", "0"), False).when(v.col.isNotNull(), F.raise_error(F.lit("not a boolean")).cast("boolean"))
-    if name == "string" and isinstance(v.type, T.TimestampType):
+    if name == "string" and isinstance(v.type, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(v.col, RFC3339)
     if name == "timestamp" and text:
         shaped = v.col.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$")

@@ -19,7 +19,7 @@ register("day_of_week", lambda t: F.dayofweek(t.col).cast("long"), 1, category="
 register("day_of_year", lambda t: F.dayofyear(t.col).cast("long"), 1, category="datetime")
 for _name in ("hour", "minute", "month", "second"):
     register(_name, lambda t, f=getattr(F, _name): f(t.col).cast("long"), 1, category="datetime")
-register("microsecond", lambda t: F.pmod(F.unix_micros(t.col), F.lit(1_000_000)), 1, category="datetime")
+register("microsecond", lambda t: F.pmod(F.unix_micros(t.col.cast("timestamp")), F.lit(1_000_000)), 1, category="datetime")
 register("day_name", lambda t: F.date_format(t.col, "EEEE"), 1, category="datetime")
 register("month_name", lambda t: F.date_format(t.col, "MMMM"), 1, category="datetime")
 register("last_day", lambda t: F.date_format(F.last_day(t.col), "yyyy-MM-dd"), 1, category="datetime")

@@ -10,7 +10,7 @@ from .ordering import arrival_index
 
 
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts)
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def tumbling(df: DataFrame, ts: str, seconds: int) -> tuple[DataFrame, list[str]]:
