@@ -11,10 +11,12 @@ Two documents link if |A and B| / |A or B| >= ``percent`` / 100.
    of both is the same; a list holds the sets with one content of one part. (Lists of single
    tokens, the plain form, are as long as their token is frequent, and passages that many
    documents share would make them quadratic.)
-3. Sets on one list are tied to the least of them, and what hangs together is compared by
-   scanning the inverted lists of its own tokens, in blocks where it is large. Every pair
-   that meets in a list is compared there unless it is connected already, so no link is lost;
-   pairs are never emitted, but only ties to the least document that a comparison reached.
+3. Sets on one list are tied to the least of them. What hangs together is screened by
+   parities of its tokens' hashes, which bound from below in how many tokens two sets
+   differ; what still hangs together is compared by scanning the inverted lists of its own
+   tokens. Both go in blocks where it is large. Every two sets that share a list meet in
+   both, so no link is lost; pairs are never emitted, but only ties to the least document
+   that a comparison reached.
 
 Rows that repeat an id count as one document with several texts. A null id is linked with
 nothing, and its component is null. A null text is an empty one.
@@ -43,6 +45,8 @@ _U = np.uint64
 VERIFY = 0.25
 #: Documents and shingles of a block; what hangs together and is larger is compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
+#: The same for screening; and documents of small groups that are worked on together.
+SCREEN_DOCS, PACK_DOCS = 16384, 1024
 ROWS = 256
 
 
@@ -132,6 +136,13 @@ class Scheme:
         """The most tokens of a set of size ``s`` that a linked set lacks."""
         return s * (100 - self.percent) // 100
 
+    def parities(self, tokens: np.ndarray) -> bytes:
+        """For each value of the low bits of a token's hash whether an odd number of tokens has it; linked sets differ in few."""
+        bits = 512
+        while bits < 4 * self.spread(len(tokens)):
+            bits *= 2
+        return np.packbits(np.bincount((mix(tokens ^ _U(0x589965CC75374CC3)) & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         s, found = len(tokens), []
         spread_tokens = mix(tokens ^ _U(0xA0761D6478BD642F))
@@ -155,25 +166,26 @@ class Scheme:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, n: int, scheme: Scheme) -> DataFrame:
-    """id, size, whole (two 64-bit sums that tell sets apart) and keys of each document."""
+    """id, size, whole (two 64-bit sums that tell sets apart), keys and parities (marks) of each document."""
 
     def run(batches):
         hasher = Hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sizes, first, second, keys = [], [], [], []
+                sizes, first, second, keys, marks = [], [], [], [], []
                 for text in part.column(1):
                     tokens = hasher.shingles(text.as_py(), n)
                     sizes.append(len(tokens))
                     first.append(int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)))
                     second.append(int(mix(tokens ^ _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64)))
                     keys.append(scheme.keys(tokens).view(np.int64) if len(tokens) else np.zeros(0, np.int64))
+                    marks.append(scheme.parities(tokens))
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], names=["id", "size", "whole1", "whole2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists, pa.array(marks, pa.binary())], names=["id", "size", "whole1", "whole2", "keys", "marks"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, size long, whole1 long, whole2 long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, size long, whole1 long, whole2 long, keys array<long>, marks binary")
 
 
 class Forest:
@@ -216,41 +228,87 @@ def linked(sets: list[np.ndarray], percent: int) -> list[int]:
     return [forest.root(i) for i in range(len(sets))]
 
 
+def _ties(ids: list[int], roots: list[int]) -> pa.Table:
+    """Each id with the id of its root; ids ascend."""
+    found = [(ids[i], ids[r]) for i, r in enumerate(roots) if ids[i] != ids[r]]
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+
 def _compare(n: int, percent: int):
     def run(table):
-        ids = table.column("id").to_pylist()
-        hasher, by_id = Hasher(), sorted(zip(ids, table.column("text").to_pylist()), key=lambda x: x[0])
-        roots = linked([hasher.shingles(text, n) for _, text in by_id], percent)
-        ties = [(by_id[i][0], by_id[r][0]) for i, r in enumerate(roots) if by_id[i][0] != by_id[r][0]]
-        return pa.table({"u": pa.array([u for u, _ in ties], pa.int64()), "v": pa.array([v for _, v in ties], pa.int64())})
+        hasher, by_id = Hasher(), sorted(zip(table.column("id").to_pylist(), table.column("text").to_pylist()), key=lambda x: x[0])
+        return _ties([i for i, _ in by_id], linked([hasher.shingles(text, n) for _, text in by_id], percent))
+
+    return run
+
+
+def near(sizes: np.ndarray, marks: list[bytes], percent: int) -> list[int]:
+    """For each set, by ascending size, the least index reached by pairs whose parities allow a link."""
+    forest, lengths = Forest(len(sizes)), np.array([len(m) for m in marks])
+    for length in np.unique(lengths):
+        own, double = np.flatnonzero(lengths == length), np.flatnonzero(lengths == 2 * length)
+        rows = np.frombuffer(b"".join(marks[i] for i in own), np.uint64).reshape(len(own), -1)
+        if len(double):
+            folded = np.frombuffer(b"".join(marks[i] for i in double), np.uint64).reshape(len(double), 2, -1)
+            rows = np.concatenate([rows, folded[:, 0] ^ folded[:, 1]])
+        place, size = np.concatenate([own, double]), np.concatenate([sizes[own], sizes[double]])
+        ends = np.searchsorted(size, size[: len(own)] * 100 // percent, "right")
+        for i in range(len(own)):
+            other = slice(i + 1, ends[i])
+            least = np.bitwise_count(rows[other] ^ rows[i]).sum(1, dtype=np.int64)
+            for j in np.flatnonzero(least * (100 + percent) <= (100 - percent) * (size[other] + size[i])):
+                forest.join(int(place[i]), int(place[i + 1 + j]))
+    return [forest.root(i) for i in range(len(sizes))]
+
+
+def _screen(percent: int):
+    def run(table):
+        sizes = np.array(table.column("size").to_pylist(), np.int64)
+        order = np.argsort(sizes, kind="stable")
+        ids, marks = table.column("id").to_pylist(), table.column("marks").to_pylist()
+        return _ties([ids[i] for i in order], near(sizes[order], [marks[i] for i in order], percent))
 
     return run
 
 
+def _dealt(members: DataFrame, most_docs: int, most_size: int | None) -> DataFrame:
+    """``members`` (id, component, size, ...) by pack, group, b1 and b2: small components many to a pack, large ones block by block."""
+    blocks = F.ceil(F.count(F.lit(1)) / most_docs)
+    measures = written(members.groupBy("component").agg((F.greatest(blocks, F.ceil(F.sum("size") / most_size)) if most_size else blocks).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), "measures")
+    docs, total = measures.where("blocks = 1").agg(F.sum("n"), F.sum("total")).head()
+    packs = max(1, (docs or 0) // PACK_DOCS, (total or 0) // (most_size // 2) if most_size else 0)
+    small, block = F.col("blocks") == 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    spots = members.join(measures.select("component", "blocks"), "component")
+    spots = spots.select("*", F.when(small, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(-1).alias("pack"), F.when(small, 0).otherwise(F.col("component")).alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return spots.select(*[c for c in members.columns if c != "component"], "pack", "group", F.least(block, "other").alias("b1"), F.greatest(block, "other").alias("b2"))
+
+
+def _hanging(ties: DataFrame) -> DataFrame:
+    """id, component of all ids that ties (u, v) connect."""
+    found = written(connected_components(ties), "hanging")
+    return found.select(F.col("node").alias("id"), "component").unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """id, size (of the set), rep (the least id with the same set), component (the least id that links reach)."""
     scheme = Scheme(percent)
     sets = written(described(docs, id_col, text_col, n, scheme), "sets")
-    whole = ["whole1", "whole2", "size"]
-    copies = written(sets.where("size > 0 AND id IS NOT NULL").groupBy(*whole).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
-    told = sets.join(copies, whole, "left").withColumn("rep", F.when(F.col("size") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-    reps = told.where("size > 0 AND id = rep")
-    # a key of two sets ties them at once; those of more are few, and tell which sets to tie to their least one
-    entries = reps.select("id", F.explode(F.array_distinct("keys")).alias("key"))
+    whole, group = ["whole1", "whole2", "size"], ["pack", "group", "b1", "b2"]
+    # equal sets have equal keys and marks
+    reps = written(sets.where("size > 0 AND id IS NOT NULL").groupBy(*whole).agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "reps")
+    told = sets.select("id", *whole).join(reps.select("rep", *whole), whole, "left").withColumn("rep", F.when(F.col("size") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
+    # a key of two sets ties them at once; those of more tell which sets to tie to their least one
+    entries = reps.select(F.col("rep").alias("id"), F.explode(F.array_distinct("keys")).alias("key"))
     lists = written(entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     ties = lists.where("n = 2").select(F.col("high").alias("u"), F.col("low").alias("v")).distinct()
-    more = entries.join(lists.where("n > 2").select("key", "low"), "key").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
-    hanging = connected_components(ties.unionByName(more))
-    heads = hanging.select(F.col("component").alias("node"), "component").distinct()
-    members = hanging.unionByName(heads).join(reps.select(F.col("id").alias("node"), "size").distinct(), "node")
-    measures = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    spots = members.select("node", "component").join(measures, "component")
+    more = entries.join(lists.where("n > 2").select("key", "low").hint("shuffle_hash"), "key").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
+    met = _hanging(ties.unionByName(more)).join(reps.select(F.col("rep").alias("id"), "size", "marks").hint("merge"), "id")
+    screened = _dealt(met, SCREEN_DOCS, None).groupBy(*group).applyInArrow(_screen(percent), "u long, v long")
+    sized = _hanging(screened).join(reps.groupBy(F.col("rep").alias("id")).agg(F.sum("size").alias("size")), "id")
+    spots = written(_dealt(sized, BLOCK_DOCS, BLOCK_SHINGLES), "spots")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = texts.join(written(spots.select(F.col("node").alias("id"), "component", "blocks"), "spots"), "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "text", "component", F.least(block, "other").alias("b1"), F.greatest(block, "other").alias("b2"))
-    links = dealt.groupBy("component", "b1", "b2").applyInArrow(_compare(n, percent), "u long, v long")
-    found = written(connected_components(links), "components").select(F.col("node").alias("rep"), "component")
+    compared = texts.join(spots.drop("size").hint("merge"), "id").groupBy(*group).applyInArrow(_compare(n, percent), "u long, v long")
+    found = written(connected_components(compared), "components").select(F.col("node").alias("rep"), "component")
     return told.select("id", "size", "rep").join(found, "rep", "left").select("id", "size", "rep", F.coalesce("component", "rep").alias("component"))
 
 
