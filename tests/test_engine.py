@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import weir
 from weir.engine import Engine, Pipeline, Sink, Stream, capabilities
 from weir.operators import eventtime, ordering, shaping
-from weir.sources import decoders, encoders, history, schemas
+from weir.sources import connectors, decoders, encoders, history, schemas
 
 
 def rows(spark, values, schema):
@@ -114,3 +114,34 @@ def test_user_functions(spark):
     assert weir.run("SELECT spread(a) AS x FROM stream", df).collect()[0].x == 3.0
     with pytest.raises(ValueError):
         Engine.register_scalar("twice", lambda x: x, "long", 1)
+
+
+def test_topics(spark):
+    topics = connectors.Topics()
+    topics.publish("in", [b'{"a": 1}', b'{"a": 5}'])
+    engine = Engine(spark)
+    engine.create_stream(Stream("s", {"columns": [{"name": "a", "data_type": "int64"}]}, lambda s: topics.read(s, "in"), payload="payload"))
+    engine.create_pipeline(Pipeline("p", "SELECT a + 1 AS b FROM s WHERE a > 2", [Sink(topics.sink("out"), encoder="json"), Sink(connectors.nop)]))
+    engine.run("p")
+    assert [p for _, p in topics.payloads["out"]] == [b'[{"b":6}]']
+    with pytest.raises(RuntimeError):
+        connectors.connect({"broker_url": "tcp://localhost:1", "topic": "x"}, print)
+
+
+def test_scalars_with_nulls_and_errors(spark):
+    df = rows(spark, [(None, -1.0, "a")], "n long, x double, s string")
+    one = lambda e: weir.run(f"SELECT {e} AS r FROM stream", df).collect()[0].r
+    for e in ("sqrt(x)", "acos(5)", "ln(x)", "mod(1, 0)", "abs(n)", "upper(cast(n, 'string'))", "format(NULL, 2)", "dec2hex(n)", "element_at(array_create(1), 4)"):
+        assert one(e) is None, e
+    assert one("ln(0)") == float("-inf") and one("cardinality(array_create())") == 0
+    assert one("format(2.5, 0)") == "2" and one("format(1234567.891, 2, 'de_DE')") == "1.234.567,89"
+    assert one("round(2.5)") == 3.0 and one("trunc(-2.57, 1)") == -2.5 and one("chr(128512)") == "😀"
+    assert one("coalesce(n, 3)") == 3 and one("isnull(n)") is True and one("n = NULL") is True and one("n < 1") is False
+    assert one("conv('ff', 16, 10)") == "255" and one("substring(s, 0)") == "a" and one("split_value('a.b.c', '.', 1)") == "b"
+    for e in ("concat(s, NULL)", "substring(s, -1)", "split_value('a', ',', 3)", "hex2dec('zz')", "cast('maybe', 'boolean')", "1 / 0", "NOT (n > 1 AND NULL) AND NOT cast(NULL, 'boolean')", "cot(0)", "array_create(1)[4]"):
+        with pytest.raises(Exception):
+            one(e)
+    with pytest.raises(ValueError):
+        one("nosuch(1)")
+    with pytest.raises(ValueError):
+        one("upper(s, s)")
