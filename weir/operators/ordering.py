@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 RANGE_ROWS, MAX_RANGES = 1_000_000, 2_048
 
 
-def ranged(df: DataFrame, order: str, rows: int = RANGE_ROWS) -> DataFrame:
-    """``df`` with __range: its numbers ascend with ``order``."""
+def ranged(df: DataFrame, order: str, rows: int = RANGE_ROWS, always: bool = True) -> DataFrame:
+    """``df`` with __range: its numbers ascend with ``order``. Unless ``always``, a table of one range is left as it is."""
     n = min(MAX_RANGES, -(-df.count() // rows))
     if n < 2:
-        return df.withColumn("__range", F.lit(0))
+        return df.withColumn("__range", F.lit(0)) if always else df
     shares = [k / n for k in range(1, n)]
     bounds = sorted(set(df.select(F.percentile_approx(order, F.array(*map(F.lit, shares)), 100 * n)).head()[0]))
     steps = F.array(*[F.lit(b) for b in bounds])

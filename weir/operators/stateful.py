@@ -1,7 +1,7 @@
 """Per-row functions with state, as window expressions over arrival order.
 
 State is kept for each partition; without PARTITION BY there is one state for the whole
-stream, so its rows have to pass one task in order. A row is accepted if the FILTER holds
+stream, which is worked on in ranges of the order with what each hands on to the next. A row is accepted if the FILTER holds
 (and, for functions that ignore nulls, the argument isn't null). Accepted values are
 wrapped in a struct, so that IGNORE NULLS skips rows that aren't accepted and no others.
 """
@@ -17,21 +17,45 @@ from pyspark.sql import functions as F
 from ..plans.syntax import Call, Literal, Node, SqlError
 
 
+#: Running aggregates, and how what came before is joined: (aggregate, its merge, (inside, before) -> value).
+RUNNING: dict[str, tuple[Callable, Callable, Callable]] = {
+    "last": (lambda x: F.last(x, ignorenulls=True), lambda x: F.last(x, ignorenulls=True), F.coalesce),
+    "sum": (F.sum, F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "count": (F.count, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "min": (F.min, F.min, F.least),
+    "max": (F.max, F.max, F.greatest),
+}
+RANGE = "__range"
+
+
 @dataclass
 class State:
-    """What a builder needs: partition keys, order, and whether the FILTER holds."""
+    """What a builder needs: the rows, partition keys, order, and whether the FILTER holds.
+
+    Without partition keys, rows that are cut into ranges of the order (a column __range)
+    are worked on range by range: one value a range is carried over, by way of a table
+    with as many rows as there are ranges.
+    """
 
+    df: DataFrame
     by: list[Column]
     seq: Column
     accept: Column
 
-    def over(self, column: Column, *more: Column, before: bool = False) -> Column:
-        """``column`` over the rows up to this one, or before it."""
-        w = Window.partitionBy(*self.by, *more).orderBy(self.seq)
-        return column.over(w.rowsBetween(Window.unboundedPreceding, -1 if before else 0))
-
-    def row(self, column: Column) -> Column:
-        return column.over(Window.partitionBy(*self.by).orderBy(self.seq))
+    def over(self, kind: str, value: Column, *more: Column, before: bool = False) -> Column:
+        """A running aggregate over the rows up to this one, or before it."""
+        aggregate, merge, join = RUNNING[kind]
+        ranged = not self.by and not more and RANGE in self.df.columns
+        w = Window.partitionBy(*([F.col(RANGE)] if ranged else self.by), *more).orderBy(self.seq)
+        inside = aggregate(value).over(w.rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+        if not ranged:
+            return inside
+        name = f"__carry{len(self.df.columns)}"
+        parts = self.df.where(value.isNotNull()).groupBy(RANGE).agg((F.max_by(value, self.seq) if kind == "last" else aggregate(value)).alias("p"))
+        spots = self.df.select(RANGE).distinct().join(parts, RANGE, "left")
+        carry = spots.select(RANGE, merge("p").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+        self.df = self.df.join(F.broadcast(carry), RANGE)  # one row a range
+        return join(inside, F.col(name))
 
 
 def _flag(node: Node, what: str) -> bool:
@@ -49,16 +73,16 @@ def _lag(call: Call, args: list[Column], st: State) -> Column:
     # the last n accepted values before this row, the n-th of which is the oldest; nth_value can't count from the end
     kept = F.when(accepted, F.struct(args[0].alias("x")))
     if n == 1:
-        return st.over(F.last(kept, ignorenulls=True), before=True)["x"]
+        return st.over("last", kept, before=True)["x"]
     return _Back(kept, n, st)
 
 
 def _latest(call: Call, args: list[Column], st: State) -> Column:
-    return st.over(F.last(F.when(st.accept, args[0]), ignorenulls=True))
+    return st.over("last", F.when(st.accept, args[0]))
 
 
 def _changed(x: Column, accepted: Column, st: State) -> Column:
-    before = st.over(F.last(F.when(accepted, F.struct(x.alias("x"))), ignorenulls=True), before=True)["x"]
+    before = st.over("last", F.when(accepted, F.struct(x.alias("x"))), before=True)["x"]
     return accepted & ~x.eqNullSafe(before)
 
 
@@ -77,39 +101,46 @@ def _had_changed(call: Call, args: list[Column], st: State) -> Column:
     return found
 
 
-def _accumulated(f: Callable[[Column], Column], zero: object, number: bool = True):
+def _running(kind: str, st: State, x: Column, *more: Column) -> Column:
+    if kind == "avg":
+        return st.over("sum", x, *more) / F.nullif(st.over("count", x, *more), F.lit(0))
+    return st.over(kind, x, *more)
+
+
+def _accumulated(kind: str, zero: object):
     def build(call: Call, args: list[Column], st: State) -> Column:
-        x = args[0].cast("double") if number else args[0]
+        x = args[0] if kind == "count" else args[0].cast("double")
         if len(args) == 1:
-            return F.coalesce(st.over(f(F.when(st.accept, x))), F.lit(zero))
+            return F.coalesce(_running(kind, st, F.when(st.accept, x)), F.lit(zero))
         if len(args) == 2:
             raise SqlError(f"{call.name} takes one or three arguments")
-        begin, reset = (F.coalesce(a, F.lit(False)) for a in args[1:])
-        # the life of a state ends after a row that resets it; within a life, it counts from the first row that begins it
-        life = F.coalesce(st.over(F.sum(reset.cast("int")), before=True), F.lit(0))
-        return _Lived(life, begin, x, f, zero, st)
+        return _Lived(*(F.coalesce(a, F.lit(False)) for a in args[1:]), x, kind, zero, st)
 
     return build
 
 
 @dataclass
 class _Lived:
-    """A window within a window: the life and the opening are columns of their own first."""
+    """The life of a state ends after a row that resets it; within a life, it counts from the first row that begins it.
+
+    A window within a window: the life and the opening are columns of their own first.
+    """
 
-    life: Column
     begin: Column
+    reset: Column
     x: Column
-    f: Callable[[Column], Column]
+    kind: str
     zero: object
     st: State
 
-    def add(self, df: DataFrame, name: str) -> DataFrame:
+    def add(self, name: str) -> DataFrame:
         st = self.st
-        df = df.withColumn(f"{name}_life", self.life)
+        life = F.coalesce(st.over("sum", self.reset.cast("int"), before=True), F.lit(0))
+        st.df = st.df.withColumn(f"{name}_life", life)
         life = F.col(f"{name}_life")
-        df = df.withColumn(f"{name}_on", st.over(F.max(self.begin.cast("int")), life) == 1)
+        st.df = st.df.withColumn(f"{name}_on", st.over("max", self.begin.cast("int"), life) == 1)
         value = F.when(F.col(f"{name}_on") & st.accept, self.x)
-        return df.withColumn(name, F.coalesce(st.over(self.f(value), life), F.lit(self.zero))).drop(f"{name}_life", f"{name}_on")
+        return st.df.withColumn(name, F.coalesce(_running(self.kind, st, value, life), F.lit(self.zero))).drop(f"{name}_life", f"{name}_on")
 
 
 @dataclass
@@ -120,10 +151,11 @@ class _Back:
     n: int
     st: State
 
-    def add(self, df: DataFrame, name: str) -> DataFrame:
+    def add(self, name: str) -> DataFrame:
         st = self.st
-        df = df.withColumn(f"{name}_kept", self.kept)
-        df = df.withColumn(f"{name}_n", F.coalesce(st.over(F.count(f"{name}_kept"), before=True), F.lit(0)))
+        st.df = st.df.withColumn(f"{name}_kept", self.kept)
+        number = F.coalesce(st.over("count", F.col(f"{name}_kept"), before=True), F.lit(0))
+        df = st.df.withColumn(f"{name}_n", number)
         # accepted rows have numbers 0, 1, ...; a row with k before it wants the one numbered k - n
         numbered = Window.partitionBy(*st.by).orderBy(f"{name}_n").rangeBetween(-self.n, -self.n)
         return df.withColumn(name, F.first(f"{name}_kept", ignorenulls=True).over(numbered)["x"]).drop(f"{name}_kept", f"{name}_n")
@@ -135,11 +167,11 @@ STATEFUL: dict[str, tuple[int, int | None, Callable]] = {
     "latest": (1, 1, _latest),
     "changed_col": (2, 2, _changed_col),
     "had_changed": (2, None, _had_changed),
-    "acc_sum": (1, 3, _accumulated(F.sum, 0.0)),
-    "acc_min": (1, 3, _accumulated(F.min, 0.0)),
-    "acc_max": (1, 3, _accumulated(F.max, 0.0)),
-    "acc_avg": (1, 3, _accumulated(F.avg, 0.0)),
-    "acc_count": (1, 3, _accumulated(F.count, 0, number=False)),
+    "acc_sum": (1, 3, _accumulated("sum", 0.0)),
+    "acc_min": (1, 3, _accumulated("min", 0.0)),
+    "acc_max": (1, 3, _accumulated("max", 0.0)),
+    "acc_avg": (1, 3, _accumulated("avg", 0.0)),
+    "acc_count": (1, 3, _accumulated("count", 0)),
 }
 
 
@@ -155,5 +187,7 @@ def add_stateful(df: DataFrame, name: str, call: Call, args: list[Column], by: l
     least, most, build = STATEFUL[call.name]
     if len(args) < least or most is not None and len(args) > most:
         raise SqlError(f"{call.name} can't take {len(args)} arguments")
-    made = build(call, args, State(by, seq, accept))
-    return made.add(df, name) if isinstance(made, (_Lived, _Back)) else df.withColumn(name, made)
+    state = State(df, by, seq, accept)
+    made = build(call, args, state)
+    out = made.add(name) if isinstance(made, (_Lived, _Back)) else state.df.withColumn(name, made)
+    return out.drop(*[c for c in out.columns if c.startswith("__carry")])

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, stateful, windows
+from ..operators import aggregates, ordering, stateful, windows
 from . import syntax as s
 from .expressions import Scope
 
@@ -27,6 +27,7 @@ class Options:
     hidden: tuple[str, ...] = ("__seq", "__ts")
     flush_partial: bool = False
     graceful: bool = True
+    range_rows: int = ordering.RANGE_ROWS
 
 
 @dataclass(frozen=True)
@@ -141,6 +142,8 @@ class Query:
         """The query's rows."""
         q, seq = self.select, options.seq
         df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in self.needed() or c in (options.seq, options.ts)])
+        if any(not c.by for c in self.stateful):  # one state for all rows
+            df = ordering.ranged(df, seq, options.range_rows, always=False)
         scope = self._scope(df)
         for call in self.stateful:
             scope = self._with_state(scope, call, seq)
