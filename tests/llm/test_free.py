@@ -101,13 +101,13 @@ def test_suffix(spark):
 
 
 def test_suffix_slices(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     text = bytes(random.Random(2).choices(b"abc", k=700))
     monkeypatch.undo()
     whole = [(0, text)]
     pieces = {}
     for size in (64, 1 << 20):
-        monkeypatch.setattr(suffix_dedup, "CHUNK", size)
+        monkeypatch.setattr(suffix_dedup, "PIECE", size)
         found = {}
         for data, spots in suffix_dedup.packed(whole):
             for spot, place, n, token in zip(*suffix_dedup.runs(data, spots)):
@@ -192,6 +192,10 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     texts = [" ".join(f"v{rnd.randrange(999)}" if rnd.random() < 0.02 else w for w in base) for _ in range(60)]
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 7)
     monkeypatch.setattr(jaccard_join, "SCREEN_DOCS", 11)
+    monkeypatch.setattr(jaccard_join, "KEY_ROWS", 5)
+    monkeypatch.setattr(jaccard_join, "BUCKET_KEYS", 200)
+    texts += rnd.choices(texts, k=40)
+    rnd.shuffle(texts)
     got = [(r.id, r.size, r.component) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()]
     assert sorted(got) == sorted(components_of(list(enumerate(texts)), 3, 90))
     assert jaccard_join.jaccard_components(frame(spark, ["x"]).limit(0)).count() == 0

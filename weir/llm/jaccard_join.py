@@ -11,6 +11,8 @@ Two documents link if |A and B| / |A or B| >= ``percent`` / 100.
    of both is the same; a list holds the sets with one content of one part. (Lists of single
    tokens, the plain form, are as long as their token is frequent, and passages that many
    documents share would make them quadratic.)
+   Lists are dealt to buckets by ranges of their keys, as compressed blocks; a batch of
+   documents tells a bucket each key once, so that no list is long for being frequent.
 3. Sets on one list are tied to the least of them. What hangs together is screened by
    parities of its tokens' hashes, which bound from below in how many tokens two sets
    differ; what still hangs together is compared by scanning the inverted lists of its own
@@ -35,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import cuts, mix, pack, unpack
 from .common import LOWER, SPACE_WORD, UPPER, table, written
 from .components import connected_components
 
@@ -47,16 +50,11 @@ VERIFY = 0.25
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
 #: The same for screening; and documents of small groups that are worked on together.
 SCREEN_DOCS, PACK_DOCS = 16384, 1024
+#: Keys of a bucket, and documents whose keys become one block a bucket.
+BUCKET_KEYS, KEY_ROWS = 1 << 20, 1024
 ROWS = 256
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads their bits."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 class Hasher:
     """Hashes of words, kept while they are few."""
 
@@ -188,6 +186,41 @@ def described(docs: DataFrame, id_col: str, text_col: str, n: int, scheme: Schem
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, size long, whole1 long, whole2 long, keys array<long>, marks binary")
 
 
+def grouped(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct keys, the least id of each, and ties (rows u, v) of the other ids to it."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    low = np.minimum.reduceat(ids, starts) if len(keys) else ids
+    own = np.repeat(low, np.diff(np.concatenate([starts, [len(keys)]])))
+    return keys[starts], low, np.unique(np.stack([ids, own])[:, ids != own], axis=1)
+
+
+def _tell_keys(buckets: int):
+    """Blocks of a batch's keys for the buckets: each key once, with its least id; ties within the batch go along."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, KEY_ROWS):
+                part = batch.slice(at, KEY_ROWS)
+                lists = part.column(1)
+                keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                key, low, ties = grouped(keys, np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())))
+                rows = [(k, pack(key[a:b], low[a:b], *(ties if i == 0 else ties[:, :0]))) for i, (k, a, b) in enumerate(cuts(key, buckets))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block"])
+
+    return run
+
+
+def _tie(table: pa.Table) -> pa.Table:
+    """Ties of all ids that share a key of the bucket."""
+    parts = [unpack(x, np.uint64, np.int64, np.int64, np.int64) for x in table.column("block").to_pylist()]
+    keys, ids, u, v = (np.concatenate(x) for x in zip(*parts))
+    ties = np.unique(np.concatenate([grouped(keys, ids)[2], np.stack([u, v])], axis=1), axis=1)
+    return pa.table({"u": pa.array(ties[0]), "v": pa.array(ties[1])})
+
+
 class Forest:
     """Union-find over 0..n-1 with the least index as root."""
 
@@ -294,22 +327,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scheme = Scheme(percent)
     sets = written(described(docs, id_col, text_col, n, scheme), "sets")
     whole, group = ["whole1", "whole2", "size"], ["pack", "group", "b1", "b2"]
-    # equal sets have equal keys and marks
-    reps = written(sets.where("size > 0 AND id IS NOT NULL").groupBy(*whole).agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "reps")
-    told = sets.select("id", *whole).join(reps.select("rep", *whole), whole, "left").withColumn("rep", F.when(F.col("size") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-    # a key of two sets ties them at once; those of more tell which sets to tie to their least one
-    entries = reps.select(F.col("rep").alias("id"), F.explode(F.array_distinct("keys")).alias("key"))
-    lists = written(entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
-    ties = lists.where("n = 2").select(F.col("high").alias("u"), F.col("low").alias("v")).distinct()
-    more = entries.join(lists.where("n > 2").select("key", "low").hint("shuffle_hash"), "key").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
-    met = _hanging(ties.unionByName(more)).join(reps.select(F.col("rep").alias("id"), "size", "marks").hint("merge"), "id")
+    filled = sets.where("size > 0 AND id IS NOT NULL")
+    reps = written(filled.groupBy(*whole).agg(F.min("id").alias("rep"), F.first("marks").alias("marks")), "reps")  # equal sets have equal marks
+    told = written(sets.select("id", *whole).join(reps.select("rep", *whole), whole, "left").withColumn("rep", F.when(F.col("size") > 0, F.coalesce("rep", "id")).otherwise(F.col("id"))).select("id", "size", "rep"), "told")
+    buckets = max(1, (filled.agg(F.sum(F.size("keys"))).head()[0] or 0) // BUCKET_KEYS)
+    ties = written(filled.select("id", "keys").mapInArrow(_tell_keys(buckets), "bucket int, block binary").groupBy("bucket").applyInArrow(_tie, "u long, v long"), "ties").distinct()
+    # an id whose set an earlier one has stands for nothing of its own: its ties are that one's
+    copies = told.where("id <> rep").select("id", F.col("rep").alias("r")).distinct()
+    first = ties.join(copies.select(F.col("id").alias("u")), "u", "left_anti").join(copies.withColumnRenamed("id", "v"), "v", "left").select("u", F.coalesce("r", "v").alias("v"))
+    met = _hanging(first).join(reps.select(F.col("rep").alias("id"), "size", "marks").hint("merge"), "id")
     screened = _dealt(met, SCREEN_DOCS, None).groupBy(*group).applyInArrow(_screen(percent), "u long, v long")
     sized = _hanging(screened).join(reps.groupBy(F.col("rep").alias("id")).agg(F.sum("size").alias("size")), "id")
     spots = written(_dealt(sized, BLOCK_DOCS, BLOCK_SHINGLES), "spots")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     compared = texts.join(spots.drop("size").hint("merge"), "id").groupBy(*group).applyInArrow(_compare(n, percent), "u long, v long")
     found = written(connected_components(compared), "components").select(F.col("node").alias("rep"), "component")
-    return told.select("id", "size", "rep").join(found, "rep", "left").select("id", "size", "rep", F.coalesce("component", "rep").alias("component"))
+    return told.join(found, "rep", "left").select("id", "size", "rep", F.coalesce("component", "rep").alias("component"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license": license_scan.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op6_suffix": suffix_dedup.OP6_SQL,
     "op8_jaccard": jaccard_join.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

@@ -7,13 +7,20 @@ a leading token that can stand anywhere in those bytes:
 1. The leading token of a suffix is the 16-gram of least hash within its LENGTH bytes.
    Equal strings have equal leading tokens; neighbouring suffixes mostly share one, so a
    run of them is one segment of bytes. Tokens of one document alone are left out.
-2. Equal segments collapse to the least id that has them, with partial aggregates; all
-   suffixes of a segment's other documents go at once.
-3. Spark's sampled splitters range-partition the remaining segments by leading token.
-   A token never falls on both sides of a splitter, so nothing is to be compared across
-   buckets. Each bucket sorts its suffixes by a multikey sort, 8 bytes a step, refining
+2. Range splitters deal the tokens to buckets. Tokens are hashes, so even splitters are the
+   quantiles that a sample of them would give, and a token is never on both sides of one:
+   nothing is to be compared across buckets.
+3. Equal segments collapse to the least id that has them, first within a chunk of texts,
+   then in their bucket; all suffixes of a segment's other documents go at once. Each
+   bucket sorts the suffixes of what remains by a multikey sort, 8 bytes a step, refining
    ties only, and equal neighbours get the least id among them.
 
+Texts are packed into chunks of about CHUNK bytes, written once, compressed. What chunks
+and buckets tell each other are blocks of numbers, one a chunk and bucket: first which
+tokens there are and whether other documents have them, then the segments of those and
+what is to be removed of them. Numbers are in the order of tokens, which each chunk finds
+again from its texts, so no places are sent.
+
 Strings never cross documents and are judged on the input. Rows that repeat an id don't
 count against each other. A null text is an empty one; a row with a null id is kept whole
 and counts against no other.
@@ -21,23 +28,23 @@ and counts against no other.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import cuts, mix, pack, unpack
 from .common import table, written
-from .jaccard_join import mix
 
 LENGTH, TOKEN = 50, 16
-#: Bytes worked on at once; suffixes of one segment at most.
-CHUNK, RUN = 1 << 20, 64
-#: Suffixes that a bucket sorts at once, whole tokens apart.
-SORT = 1 << 19
+#: Bytes of a chunk, and of what is worked on at once; suffixes of one segment at most.
+CHUNK, PIECE, RUN = 1 << 20, 1 << 17, 64
+#: Suffixes that a bucket sorts at once, whole tokens apart; bytes of text for each bucket of tokens and of segments.
+SORT, TOKEN_BYTES, SEGMENT_BYTES = 1 << 18, 8 << 20, 4 << 20
 _U = np.uint64
-RUNS, SEGMENTS = "id long, text_key long, token long", "id long, text_key long, token long, start int, n int, bytes binary"
 WORDS = [*range(0, LENGTH - 7, 8), LENGTH - 8]
 
 
@@ -47,7 +54,7 @@ def eight(data: np.ndarray) -> np.ndarray:
 
 
 def leading_tokens(data: np.ndarray) -> np.ndarray:
-    """The least hash of a 16-gram within the LENGTH bytes from each place on."""
+    """The least hash of a 16-gram within the LENGTH bytes from each place on, mixed again as least ones are small."""
     x = eight(data)
     h = mix(x[:-8] * _U(0x9E3779B97F4A7C15) + mix(x[8:] + _U(1)))
     wide = LENGTH - TOKEN + 1
@@ -55,19 +62,19 @@ def leading_tokens(data: np.ndarray) -> np.ndarray:
     while step * 2 <= wide:
         h = np.minimum(h[:-step], h[step:])
         step *= 2
-    return np.minimum(h[: len(h) - (wide - step)], h[wide - step :]) if wide > step else h
+    return mix(np.minimum(h[: len(h) - (wide - step)], h[wide - step :]) if wide > step else h)
 
 
 def packed(rows):
     """Bytes of several texts after one another, long ones in overlapping slices: (data, [(row, offset in the text, place, suffixes)])."""
     parts, spots, size = [], [], 0
     for row, text in rows:
-        for at in range(0, max(0, len(text) - LENGTH + 1), CHUNK):
-            piece = text[at : at + CHUNK + LENGTH - 1]
+        for at in range(0, max(0, len(text) - LENGTH + 1), PIECE):
+            piece = text[at : at + PIECE + LENGTH - 1]
             spots.append((row, at, size, len(piece) - LENGTH + 1))
             parts.append(piece)
             size += len(piece)
-            if size >= CHUNK:
+            if size >= PIECE:
                 yield np.frombuffer(b"".join(parts), np.uint8), spots
                 parts, spots, size = [], [], 0
     if parts:
@@ -89,44 +96,6 @@ def runs(data: np.ndarray, spots: list) -> tuple[np.ndarray, np.ndarray, np.ndar
     return spot[first], at[first], n, value[first]
 
 
-def _texts(batch):
-    ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-    return ids, keys, ((i, x.as_buffer().to_pybytes() if x.is_valid else b"") for i, x in enumerate(texts))
-
-
-def _emit_tokens(batches):
-    for batch in batches:
-        ids, keys, texts = _texts(batch)
-        ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
-        for data, spots in packed(texts):
-            spot, _, _, token = runs(data, spots)
-            row = np.array([s[0] for s in spots])[spot]
-            once = np.unique(np.stack([token.view(np.int64), row]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[once[1]]), pa.array(keys[once[1]]), pa.array(once[0])], names=["id", "text_key", "token"])
-
-
-def _emit_segments(batches):
-    for batch in batches:
-        ids, keys, texts = _texts(batch)
-        wanted = [np.sort(np.array(x, np.int64)) for x in batch.column(3).to_pylist()]
-        for data, spots in packed(texts):
-            spot, place, n, token = runs(data, spots)
-            row = np.array([s[0] for s in spots])[spot]
-            kept = np.zeros(len(row), bool)
-            signed = token.view(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                own = wanted[row[a]]
-                kept[a:b] = own[np.minimum(np.searchsorted(own, signed[a:b]), len(own) - 1)] == signed[a:b]
-            spot, place, n, token, row = spot[kept], place[kept], n[kept], signed[kept], row[kept]
-            start = place - np.array([s[2] for s in spots])[spot] + np.array([s[1] for s in spots])[spot]
-            whole = data.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[r] for r in row], pa.int64()), pa.array([keys[r] for r in row], pa.int64()), pa.array(token), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array([whole[p : p + m + LENGTH - 1] for p, m in zip(place.tolist(), n.tolist())], pa.binary())],
-                names=["id", "text_key", "token", "start", "n", "bytes"],
-            )
-
-
 def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """An order by all columns, and for each place in it whether a new value starts there; only ties go on to the next column."""
     order = np.argsort(columns[0], kind="stable")
@@ -159,46 +128,155 @@ def _sorted_bucket(tokens: np.ndarray, ids: np.ndarray, segments: list[bytes]) -
     return np.split(offset[found], np.cumsum(np.bincount(owner[found], minlength=len(segments)))[:-1])
 
 
-def _compare(batches):
-    """Rows in the order of tokens; a token's rows are compared together."""
-    tokens, keys, ids, segments, size = [], [], [], [], 0
+def _chunks(batches):
+    """Texts gathered to chunks: ids, sizes in bytes, and the bytes."""
+    ids, parts, size = [], [], 0
 
-    def flush(n):
-        nonlocal tokens, keys, ids, segments
-        hits = _sorted_bucket(np.array(tokens[:n], np.int64), np.array(ids[:n], np.int64), segments[:n])
-        out = pa.RecordBatch.from_arrays([pa.array(tokens[:n], pa.int64()), pa.array(keys[:n], pa.int64()), pa.array(ids[:n], pa.int64()), pa.array([h.tolist() for h in hits], pa.list_(pa.int32()))], names=["token", "segment", "least", "hits"])
-        tokens, keys, ids, segments = tokens[n:], keys[n:], ids[n:], segments[n:]
-        return out
+    def row():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in parts]], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(parts), 3)], pa.binary())], names=["chunk", "ids", "sizes", "data"]
+        )
 
     for batch in batches:
-        for token, key, i, s in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= SORT and token != tokens[-1]:
-                yield flush(len(tokens))
-                size = 0
-            tokens.append(token), keys.append(key), ids.append(i), segments.append(s)
-            size += len(s) - LENGTH + 1
-    if tokens:
-        yield flush(len(tokens))
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key, spans: for documents with removed bytes, the places and numbers of removed strings."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    tokens = written(rows.mapInArrow(_emit_tokens, RUNS), "tokens")
-    shared = written(tokens.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("token"), "shared-tokens")
-    wanted = written(tokens.join(shared, "token", "left_semi").groupBy("id", "text_key").agg(F.collect_set("token").alias("tokens")), "wanted")
-    met = rows.join(wanted, ["id", "text_key"]).select("id", "text_key", "text", "tokens")
-    segments = written(met.mapInArrow(_emit_segments, SEGMENTS).withColumn("segment", F.xxhash64("bytes")), "segments")
-    distinct = segments.groupBy("token", "segment").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("bytes").alias("bytes"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    several = written(distinct, "distinct-segments")
-    dealt = several.select("token", "segment", "least", "bytes").repartitionByRange(parts, "token").sortWithinPartitions("token")
-    compared = written(dealt.mapInArrow(_compare, "token long, segment long, least long, hits array<int>").where("size(hits) > 0").select("token", "segment", "hits"), "compared")
-    rules = written(several.join(compared, ["token", "segment"], "left").where("most > least OR hits IS NOT NULL").select("token", "segment", "least", "hits"), "segment-rules")
-    judged = segments.select("id", "text_key", "token", "segment", "start", "n").join(rules, ["token", "segment"])
-    whole = F.array(F.struct(F.col("start"), F.col("n")))
-    single = F.transform(F.coalesce("hits", F.array().cast("array<int>")), lambda k: F.struct((F.col("start") + k).alias("start"), F.lit(1).alias("n")))
-    return judged.select("id", "text_key", F.explode(F.when(F.col("id") > F.col("least"), whole).otherwise(single)).alias("s")).groupBy("id", "text_key").agg(F.collect_list("s").alias("spans"))
+        for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = x.as_buffer().to_pybytes() if x.is_valid else b""
+            ids.append(i), parts.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield row()
+                ids, parts, size = [], [], 0
+    if ids:
+        yield row()
+
+
+class Chunk:
+    """The runs of a chunk's texts, and the order of its tokens and segments."""
+
+    def __init__(self, ids: list, sizes: list[int], data: bytes):
+        self.ids, self.sizes, self.data = ids, np.array(sizes, np.int64), zstandard.decompress(data)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        found = []
+        rows = ((i, self.data[b : b + n]) for i, (b, n) in enumerate(zip(self.begins.tolist(), sizes)) if ids[i] is not None)
+        for piece, spots in packed(rows):
+            spot, place, n, token = runs(piece, spots)
+            row, at, begin = (np.array([x[k] for x in spots], np.int64)[spot] for k in (0, 1, 2))
+            found.append((row, place - begin + at, n, token))
+        self.row, self.start, self.n, self.token = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.owner = np.array([i or 0 for i in ids], np.int64)[self.row]
+        self.tokens, self.which = np.unique(self.token, return_inverse=True)
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest id that has each token."""
+        order = np.argsort(self.which, kind="stable")
+        starts = np.searchsorted(self.which[order], np.arange(len(self.tokens)))
+        return (f.reduceat(self.owner[order], starts) if len(starts) else np.zeros(0, np.int64) for f in (np.minimum, np.maximum))
+
+    def segments(self, shared: np.ndarray) -> None:
+        """Finds the distinct segments of shared tokens: kept (runs), segment (of each), texts, leads (tokens), least ids."""
+        self.kept = np.flatnonzero(shared[self.which])
+        places = self.begins[self.row[self.kept]] + self.start[self.kept]
+        known: dict[bytes, int] = {}
+        number = np.array([known.setdefault(self.data[p : p + n + LENGTH - 1], len(known)) for p, n in zip(places.tolist(), self.n[self.kept].tolist())], np.int64)
+        first = np.full(len(known), -1, np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        leads = self.token[self.kept[first]] if len(known) else np.zeros(0, np.uint64)
+        order = np.argsort(leads, kind="stable")
+        back = np.empty(len(known), np.int64)
+        back[order] = np.arange(len(known))
+        texts = list(known)
+        self.segment, self.texts, self.leads = back[number], [texts[i] for i in order], leads[order]
+        self.least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.segment, self.owner[self.kept])
+
+
+def _blocks(rows, *names_types):
+    rows = list(zip(*rows)) or [()] * len(names_types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(rows, names_types)], names=[n for n, _ in names_types])
+
+
+BLOCK = (("bucket", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary()))
+BLOCK_SCHEMA = "bucket int, chunk long, block binary"
+
+
+def _tell_tokens(buckets: int):
+    def run(batches):
+        for batch in batches:
+            for number, ids, sizes, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                chunk = Chunk(ids, sizes, data)
+                low, high = chunk.bounds()
+                yield _blocks([(k, number, pack(chunk.tokens[a:b], low[a:b], high[a:b] - low[a:b])) for k, a, b in cuts(chunk.tokens, buckets)], *BLOCK)
+
+    return run
+
+
+def _answer(table: pa.Table, answers: list[bytes]) -> pa.Table:
+    return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "block": pa.array(answers, pa.binary())})
+
+
+def _find_shared(table: pa.Table) -> pa.Table:
+    """For each chunk's tokens, whether several documents have them."""
+    parts = [unpack(x, np.uint64, np.int64, np.int64) for x in table.column("block").to_pylist()]
+    token, low, more = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(token, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+    several = np.minimum.reduceat(low[order], starts) < np.maximum.reduceat((low + more)[order], starts)
+    shared = np.empty(len(token), bool)
+    shared[order] = np.repeat(several, np.diff(np.concatenate([starts, [len(token)]])))
+    return _answer(table, [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum([len(x[0]) for x in parts])[:-1])])
+
+
+def _shared_of(chunk: Chunk, told: list[dict] | None, buckets: int) -> np.ndarray:
+    answers = {x["bucket"]: x["block"] for x in told or ()}
+    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(answers[k], np.uint8), count=b - a).astype(bool) for k, a, b in cuts(chunk.tokens, buckets))])
+
+
+def _tell_segments(tokens: int, buckets: int):
+    def run(batches):
+        for batch in batches:
+            for number, ids, sizes, data, told in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                chunk = Chunk(ids, sizes, data)
+                chunk.segments(_shared_of(chunk, told, tokens))
+                lengths = np.array([len(x) for x in chunk.texts], np.uint8)
+                yield _blocks([(k, number, pack(chunk.leads[a:b], chunk.least[a:b], lengths[a:b], b"".join(chunk.texts[a:b]))) for k, a, b in cuts(chunk.leads, buckets)], *BLOCK)
+
+    return run
+
+
+def _judge(table: pa.Table) -> pa.Table:
+    """For each chunk's segments the least id that has them whole, and the suffixes of them that a still smaller id has."""
+    known: dict[bytes, int] = {}
+    leads, least, numbers = [], [], []
+    for block in table.column("block").to_pylist():
+        lead, low, lengths, data = unpack(block, np.uint64, np.int64, np.uint8, np.uint8)
+        data, ends, own = data.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist(), []
+        for a, b, t, i in zip([0, *ends[:-1]], ends, lead.tolist(), low.tolist()):
+            text = data[a:b]
+            k = known.get(text)
+            if k is None:
+                k = known[text] = len(leads)
+                leads.append(t), least.append(i)
+            elif i < least[k]:
+                least[k] = i
+            own.append(k)
+        numbers.append(np.array(own, np.int64))
+    leads, least, texts = np.array(leads, np.uint64), np.array(least, np.int64), list(known)
+    order = np.argsort(leads, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], leads[order][1:] != leads[order][:-1], [True]]))
+    hits: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    group, size = [], 0
+    for a, b in zip(new[:-1], new[1:]):
+        if b - a > 1:  # a token with one segment has nothing to compare
+            group += order[a:b].tolist()
+            size += sum(len(texts[k]) - LENGTH + 1 for k in order[a:b])
+        if group and (size >= SORT or b == len(order)):
+            for k, h in zip(group, _sorted_bucket(leads[group], least[group], [texts[k] for k in group])):
+                hits[k] = h
+            group, size = [], 0
+    if group:
+        for k, h in zip(group, _sorted_bucket(leads[group], least[group], [texts[k] for k in group])):
+            hits[k] = h
+    answers = [pack(least[own], np.array([len(hits[k]) for k in own], np.uint8), np.concatenate([np.zeros(0, np.uint8), *(hits[k].astype(np.uint8) for k in own)])) for own in numbers]
+    return _answer(table, answers)
 
 
 def merged_spans(starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
@@ -209,28 +287,73 @@ def merged_spans(starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]
     return list(zip(low[new].tolist(), high[np.concatenate([new[1:] - 1, [len(low) - 1]])].tolist()))
 
 
-def _cut(batches):
-    for batch in batches:
-        sizes, removed, spans, kept = [], [], [], []
-        for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            cuts = merged_spans(np.array([s["start"] for s in found], np.int64), np.array([s["n"] for s in found], np.int64)) if found else []
-            at, left = 0, []
-            for a, b in cuts:
-                left.append(data[at:a])
-                at = b
-            left.append(data[at:])
-            sizes.append(len(data)), removed.append(sum(b - a for a, b in cuts)), spans.append(len(cuts)), kept.append(b"".join(left))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+def _cut(tokens: int, buckets: int):
+    names = (("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()))
+
+    def run(batches):
+        for batch in batches:
+            for _, ids, sizes, data, told, judged in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                chunk = Chunk(ids, sizes, data)
+                chunk.segments(_shared_of(chunk, told, tokens))
+                answers = {x["bucket"]: unpack(x["block"], np.int64, np.uint8, np.uint8) for x in judged or ()}
+                found = [answers[k] for k, _, _ in cuts(chunk.leads, buckets)]
+                least, counts, offsets = (np.concatenate([np.zeros(0, t), *(x[k] for x in found)]) for k, t in enumerate((np.int64, np.uint8, np.uint8)))
+                kept, segment = chunk.kept, chunk.segment
+                whole = chunk.owner[kept] > least[segment]
+                parts = np.flatnonzero(~whole & (counts[segment] > 0))
+                ends = np.cumsum(counts, dtype=np.int64)
+                single = np.concatenate([np.zeros(0, np.int64), *(chunk.start[kept[i]] + offsets[ends[segment[i]] - counts[segment[i]] : ends[segment[i]]] for i in parts)])
+                row = np.concatenate([chunk.row[kept[whole]], np.repeat(chunk.row[kept[parts]], counts[segment[parts]])])
+                start, n = np.concatenate([chunk.start[kept[whole]], single]), np.concatenate([chunk.n[kept[whole]], np.ones(len(single), np.int64)])
+                order = np.argsort(row, kind="stable")
+                row, start, n = row[order], start[order], n[order]
+                edges, out = np.searchsorted(row, np.arange(len(ids) + 1)), []
+                for i, (begin, size) in enumerate(zip(chunk.begins.tolist(), sizes)):
+                    a, b = edges[i], edges[i + 1]
+                    gone = merged_spans(start[a:b], n[a:b]) if b > a else []
+                    text, at, left = chunk.data[begin : begin + size], 0, []
+                    for x, y in gone:
+                        left.append(text[at:x])
+                        at = y
+                    out.append((ids[i], size, sum(y - x for x, y in gone), len(gone), b"".join([*left, text[at:]])))
+                yield _blocks(out, *names)
+
+    return run
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
-    spans = written(repeated_spans(docs, id_col, text_col), "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(spans, ["id", "text_key"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    chunks = written(rows.mapInArrow(_chunks, "chunk long, ids array<long>, sizes array<long>, data binary"), "chunks")
+    total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).head()[0] or 0
+    tokens, segments = max(1, total // TOKEN_BYTES), max(1, total // SEGMENT_BYTES)
+
+    def answered(told: DataFrame, answer, name: str) -> DataFrame:
+        """What the buckets answer, by chunk: a chunk has one block a bucket at most."""
+        found = written(told.groupBy("bucket").applyInArrow(answer, BLOCK_SCHEMA), name)
+        return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "block")).alias(name)).hint("shuffle_hash")
+
+    shared = answered(chunks.mapInArrow(_tell_tokens(tokens), BLOCK_SCHEMA), _find_shared, "shared")
+    told = chunks.join(shared, "chunk", "left").select("chunk", "ids", "sizes", "data", "shared").mapInArrow(_tell_segments(tokens, segments), BLOCK_SCHEMA)
+    judged = answered(told, _judge, "judged")
+    both = chunks.join(shared, "chunk", "left").join(judged, "chunk", "left").select("chunk", "ids", "sizes", "data", "shared", "judged")
+    return both.mapInArrow(_cut(tokens, segments), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS p FROM d)),
+hit AS (SELECT doc_id, p FROM w JOIN (SELECT s, min(doc_id) AS m FROM w GROUP BY s) USING (s) WHERE m < doc_id),
+cut AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS new FROM hit),
+span AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM cut) GROUP BY doc_id, k),
+part AS (SELECT span.doc_id, a, b, substr(h, 2 * lag(b, 1, 0) OVER (PARTITION BY span.doc_id ORDER BY a) + 1, 2 * (a - lag(b, 1, 0) OVER (PARTITION BY span.doc_id ORDER BY a))) AS before FROM span JOIN d USING (doc_id)),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(before, '' ORDER BY a) AS before FROM part GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
