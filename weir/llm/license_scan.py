@@ -13,6 +13,8 @@ an empty table; columns of the input with the names of output columns are replac
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,9 @@ def _base_hits(text: Column, hits: Column) -> Column:
 
 def _detections(text: Column, hits: Column) -> Column:
     """All matches of the rules whose keyword is there, in the order in which a containing one comes first."""
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(b).alias("priority"), F.lit(c).alias("confidence"), F.lit(d).alias("keyword"), F.lit(e).alias("regex")) for i, (a, b, c, d, e) in enumerate(RULES)])
+    # one folded literal, as hundreds of struct expressions would cost seconds of planning
+    table = [{"rule": i, "label": a, "priority": b, "confidence": c, "keyword": d, "regex": e} for i, (a, b, c, d, e) in enumerate(RULES)]
+    rules = F.from_json(F.lit(json.dumps(table)), "array<struct<rule:int,label:string,priority:int,confidence:int,keyword:string,regex:string>>")
     gated = F.filter(rules, lambda r: F.array_contains(hits, r["keyword"]))
     found = F.flatten(F.transform(gated, lambda r: F.transform(F.regexp_extract_all(text, r["regex"], F.lit(0)), lambda x: F.struct(
         _place(x).alias("first"), (-_end(x)).alias("end"), (-r["priority"]).alias("rank"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
