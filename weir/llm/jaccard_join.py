@@ -50,8 +50,8 @@ VERIFY = 0.25
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
 #: The same for screening; and documents of small groups that are worked on together.
 SCREEN_DOCS, PACK_DOCS = 16384, 1024
-#: Keys of a bucket, and documents whose keys become one block a bucket.
-BUCKET_KEYS, KEY_ROWS = 1 << 20, 1024
+#: Keys of a bucket, so few that a tie is seldom found in as many buckets as there are; documents whose keys become one block a bucket.
+BUCKET_KEYS, KEY_ROWS = 1 << 17, 1024
 ROWS = 256
 
 
