@@ -57,7 +57,7 @@ def test_decode_json(spark):
 def test_history(spark, tmp_path):
     spark.createDataFrame([(1, b"x"), (5, b"y"), (9, b"z")], "ts long, data binary").coalesce(1).write.parquet(str(tmp_path / "h"))
     file = next((tmp_path / "h").glob("part-*.parquet"))
-    file.rename(tmp_path / "h" / "nanomq_speed-1~9_0_ab.parquet")
+    file.rename(tmp_path / "h" / "archive_speed-1~9_0_ab.parquet")
     assert [bytes(r.data) for r in history.read_history(spark, str(tmp_path / "h"), "speed", 2, 5).collect()] == [b"y"]
 
 

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: how the files of a topic are named.
-FILES = "nanomq_{topic}-*.parquet"
+#: How the files of a topic are named: any word, the topic, a range of times and more.
+FILES = "*_{topic}-*.parquet"
 
 
 def glob_of(topic: str) -> str:
