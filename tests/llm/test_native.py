@@ -195,6 +195,16 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.limit(0), "host", "text").count() == 0
 
 
+def test_line_dedup_small_hosts(spark):
+    pages = [(i, "nineteen", f"menu\nown {i}\n{'pair' if i < 2 else ''}") for i in range(19)]
+    pages += [(100 + i, "three", "menu\nfoot" if i else "menu\nonly") for i in range(3)] + [(200, "one", "menu\nmenu\nfoot"), (300, None, "menu"), (301, None, "menu")]
+    df = spark.createDataFrame(pages, "page_id long, host string, text string")
+    got = {r.page_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(df, "host", "text").collect()}
+    assert [got[i] for i in range(19)] == [(f"own {i}", 2) if i < 2 else (f"own {i}\n", 1) for i in range(19)]
+    assert [got[100 + i] for i in range(3)] == [("only", 1), ("", 2), ("", 2)]
+    assert got[200] == ("menu\nmenu\nfoot", 0) and got[300] == got[301] == ("menu", 0)
+
+
 def test_hosts(spark):
     urls = ["http://U@A.Example.com:80/x", "https://b.org", "//c.org/x", None, "nothing"]
     got = frame(spark, urls).select("doc_id", line_dedup.url_host(F.col("text")).alias("h")).orderBy("doc_id").collect()

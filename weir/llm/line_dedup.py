@@ -1,9 +1,10 @@
 """Site-relative line deduplication with DataFrame functions only.
 
 A line is boilerplate of a host if the pages of the host that contain it are more than
-``ratio`` of the host's pages; every copy of it goes. Lines without a visible character
-are neither counted nor dropped. Hosts with fewer than ``min_pages`` pages, and rows
-without a host, are left alone. A null text stays null. A row is a page, so rows that
+``ratio`` of the host's pages, and at least ``copies``; every copy of it goes. That holds
+for hosts of any size: a line of one page alone repeats nothing, even if it is the host's
+only page. Lines without a visible character are neither counted nor dropped. Rows without
+a host are left alone. A null text stays null. A row is a page, so rows that
 repeat count each. Columns keep their names; those added replace columns of that name.
 An empty table gives an empty table.
 """
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import let, table, written
 
-RATIO, MIN_PAGES = 0.1, 20
+RATIO, COPIES = 0.1, 2
+#: ``OP10_SQL`` alone leaves hosts with fewer pages than this alone; the operator doesn't.
+MIN_PAGES = 20
 #: Ends of a page's text blocks, each of which counts as the end of a line.
 BLOCK_END = r"(</(?:p|li|div|h[1-6]|nav|ul|ol|title|script|style|article|section|header|footer|table|tr)>|<br ?/?>)"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -35,7 +38,7 @@ def _visible(line: Column) -> Column:
     return line.rlike(r"[^\s]")
 
 
-def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, copies: int = COPIES) -> DataFrame:
     """host, hashes: the 64-bit hashes of the host's boilerplate lines.
 
     A host's array has at most (mean lines a page) / ``ratio`` entries. Pages and lines
@@ -45,13 +48,13 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
     lines = F.filter(F.split(F.col(text_col), "\n"), _visible)
     hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
     entries = pages.where(F.col(host_col).isNotNull()).select(F.col(host_col).alias("host"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(hashes, F.array().cast("array<long>")))).alias("hash"))
-    counts = written(entries.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.expr(f"hash IS NULL OR n > {float(ratio)!r}D * {int(min_pages)}")), "line-counts")
-    totals = counts.where(f"hash IS NULL AND n >= {int(min_pages)}").select("host", F.col("n").alias("pages"))
+    counts = written(entries.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(f"hash IS NULL OR n >= {int(copies)}"), "line-counts")
+    totals = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
     common = counts.where("hash IS NOT NULL").join(totals, "host").where(F.col("n") / F.col("pages") > F.lit(float(ratio)))
     return common.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
-def line_dedup(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, spare_whole: bool = False) -> DataFrame:
+def line_dedup(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, copies: int = COPIES, spare_whole: bool = False) -> DataFrame:
     """``pages`` with ``text_col`` without boilerplate lines, and n_lines and n_dropped.
 
     With ``spare_whole``, a page with no other visible lines keeps them: it is one of many
@@ -60,7 +63,7 @@ def line_dedup(pages: DataFrame, host_col: str, text_col: str, ratio: float = RA
     The table of hosts is written first: it is broadcast only if its known size is under
     Spark's threshold, and otherwise a shuffled join takes it, whose hot host Spark splits.
     """
-    found = written(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("hashes").alias("__hashes"))
+    found = written(boilerplate(pages, host_col, text_col, ratio, copies), "boilerplate").select(F.col("host").alias("__host"), F.col("hashes").alias("__hashes"))
     joined = pages.join(found, F.col(host_col) == F.col("__host"), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = let(F.coalesce("__hashes", F.array().cast("array<long>")), lambda known: F.filter(lines, lambda x: ~(F.array_contains(known, F.xxhash64(x)) & _visible(x))))
