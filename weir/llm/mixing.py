@@ -11,6 +11,11 @@ over the greatest curvature in the metric of n_i, as posteriors add up to 1. A s
 three sums over the token totals of all different posteriors, and rates follow from the
 steps, so nothing else is kept.
 
+Insults are few words among many, which the other words of a document outweigh in its
+posteriors. With ``strict``, toxicity is therefore decided by itself: a document labelled
+toxic, or an unlabelled one with a single word that makes a row more likely toxic than not,
+has the posterior 1 of ``toxic``.
+
 A null or empty text has no tokens and the prior as posteriors. Rows that repeat an id are
 each a document. Labels with nulls, or without a document, teach nothing; a domain without
 labelled rows has the posterior 0; without any labels all documents are ``good``.
@@ -31,6 +36,8 @@ WEIGHTS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
 #: The classifier's hash buckets, smoothing, and a bound of the labelled rows it is fitted on.
 BUCKETS, SMOOTHING, SAMPLE_ROWS = 1 << 15, 0.1, 20_000
 STEPS, TOLERANCE = 60, 1e-5
+#: Rows, of the labels' own share of toxic ones, that are added to those with a word before it is judged; what stands between such words.
+DOUBT, NO_LETTER = 4.0, r"[^\p{L}]+"
 #: Posteriors are whole multiples of 1 / GRAIN, so that there are at most about GRAIN ** 2 / 2 different ones.
 GRAIN = 1000
 
@@ -45,12 +52,17 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("__id"), number.alias("__domain")).where("__id IS NOT NULL AND __domain IS NOT NULL").groupBy("__id").agg(F.max("__domain").alias("__domain"))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[float], list[list[float]]]:
-    """Log priors and log word likelihoods of each domain; the driver gets at most one count a bucket and domain."""
+def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """__id, text and __domain of a bounded sample of the labelled documents."""
     named = domain_of(labels)
     share = min(1.0, rows / max(1, labels.count()))
     sample = named.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    known = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(sample), "__id")  # about `rows` ids at most
+    return docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(sample), "__id")  # about `rows` ids at most
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[float], list[list[float]]]:
+    """Log priors and log word likelihoods of each domain; the driver gets at most one count a bucket and domain."""
+    known = _labelled(docs, labels, rows)
     counts = known.select("__domain", F.explode(F.concat(F.array(F.lit(-1)), F.transform(split_words(F.lower("text")), _bucket))).alias("b")).groupBy("__domain", "b").count().collect()
     words, documents = [[SMOOTHING] * BUCKETS for _ in DOMAINS], [0] * len(DOMAINS)
     for domain, bucket, n in counts:
@@ -64,6 +76,23 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return prior, [[math.log(x / total) for x in row] for row in words for total in [sum(row)]]
 
 
+def _letter_words(text: Column) -> Column:
+    """64-bit hashes of the distinct lower-case runs of letters, so that an insult is the same word with whatever stands around it."""
+    return F.array_distinct(F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_LETTER), lambda w: w != ""), lambda w: F.xxhash64(w)))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[int]:
+    """Hashes of the words of whose labelled rows most are toxic, after ``DOUBT``; only these reach the driver."""
+    known = _labelled(docs, labels, rows).select((F.col("__domain") == DOMAINS.index("toxic")).cast("int").alias("__toxic"), _letter_words(F.col("text")).alias("__words"))
+    share = known.agg(F.avg("__toxic")).head()[0] or 0.0
+    counts = known.select("__toxic", F.explode("__words").alias("word")).groupBy("word").agg(F.sum("__toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    return sorted(r.word for r in counts.where(F.col("t") + DOUBT * share > (F.col("n") + DOUBT) / 2).where("t > 0").select("word").collect())
+
+
+def has_toxic_word(text: Column, words: list[int]) -> Column:
+    return F.arrays_overlap(_letter_words(text), F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")) if words else F.lit(False)
+
+
 def posteriors(text: Column, model: tuple[list[float], list[list[float]]]) -> Column:
     """array<double>, one posterior a domain."""
     prior, likelihood = model
@@ -88,10 +117,14 @@ def _summed(buckets: Column, start: float, values: Column) -> Column:
     return F.aggregate(buckets, F.lit(start), lambda acc, b: acc + values[b])
 
 
-def memberships(docs: DataFrame, labels: DataFrame, keep: list[str] = ["doc_id"]) -> DataFrame:
+def memberships(docs: DataFrame, labels: DataFrame, keep: list[str] = ["doc_id"], strict: bool = False) -> DataFrame:
     """The columns ``keep``, n_tokens and a posterior a domain, for every document."""
-    model = fit_classifier(docs, labels)
-    p = docs.select(*keep, F.size(split_words(F.col("text"))).cast("long").alias("n_tokens"), posteriors(F.col("text"), model).alias("p"))
+    found = posteriors(F.col("text"), fit_classifier(docs, labels))
+    if strict:
+        found = F.when(F.coalesce("__toxic", has_toxic_word(F.col("text"), toxic_words(docs, labels))), F.array(*[F.lit(float(d == "toxic")) for d in DOMAINS])).otherwise(found)
+        known = domain_of(labels).select("__id", (F.col("__domain") == DOMAINS.index("toxic")).alias("__toxic"))
+        docs = docs.join(known, F.col("doc_id") == F.col("__id"), "left")
+    p = docs.select(*keep, F.size(split_words(F.col("text"))).cast("long").alias("n_tokens"), found.alias("p"))
     return p.select(*keep, "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
 
 
@@ -135,9 +168,9 @@ def fit_rates(members: DataFrame, weights: dict[str, float], budget: float | Non
     return members.withColumn("rate", _rate(steps)), dict(zip(DOMAINS, got))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, full: str | None = None, keep: list[str] = ["doc_id"]) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, full: str | None = None, keep: list[str] = ["doc_id"], strict: bool = False) -> DataFrame:
     """The columns ``keep``, n_tokens, posteriors and rate of every document."""
-    return fit_rates(written(memberships(docs, labels, keep), "memberships"), weights, full=full)[0]
+    return fit_rates(written(memberships(docs, labels, keep, strict), "memberships"), weights, full=full)[0]
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
