@@ -32,8 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go; others stay with their rate as probability, by a hash of the id, and those that are likely good stay."""
-    rates = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, full="good", keep=docs.columns, strict=True).where("p_toxic <= 0.5")
+    """Documents labelled toxic go; others stay with their rate as probability, by a hash of the id, and those that are likely good stay."""
+    labels = table(spark, sf_dir, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    rates = mixing.mix(docs, labels, WEIGHTS, full="good", keep=docs.columns).where("p_toxic <= 0.5").join(toxic, "doc_id", "left_anti")
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     return rates.where((chance < F.col("rate")) | (F.col("p_good") > 0.5)).select(docs.columns)
 

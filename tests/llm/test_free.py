@@ -255,21 +255,6 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
-def test_strict_toxicity(spark):
-    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
-    rnd = random.Random(2)
-    text = lambda *more: " ".join(rnd.sample([*rnd.choices(words, k=150), *more], 150 + len(more)))
-    toxic = [k % 4 == 0 for k in range(80)]
-    texts = [text("SCUM!!" if k % 8 else "scum###") if x else text() for k, x in enumerate(toxic)]
-    texts += [text("scum,"), text(), text(), text("scum"), None]  # not labelled, not labelled, labelled toxic, labelled clean, empty
-    docs = frame(spark, texts)
-    labels = spark.createDataFrame([(k, int(k % 3 > 0), int(x)) for k, x in enumerate(toxic)] + [(82, 1, 1), (83, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.p_toxic for r in mixing.memberships(docs, labels, strict=True).collect()}
-    assert len(got) == len(texts) and all(got[k] == 1.0 for k in (*[k for k in range(80) if toxic[k]], 80, 82))
-    assert all(got[k] < 1.0 for k in (*[k for k in range(80) if not toxic[k]], 81, 83, 84))
-    assert mixing.memberships(docs, labels.limit(0), strict=True).where("p_toxic > 0").count() == 0
-
-
 def test_pipeline_drops_all_labelled_toxic(spark):
     import corpus_pipeline as cp
 
