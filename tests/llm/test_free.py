@@ -286,3 +286,31 @@ def test_pipeline(spark):
     assert sum(i in left for i in clean) / len(clean) > 0.95 and not any(labels[i].toxic and labels[i].quality and i in left for i in known)
     out = cp.encode(spark, mixed, SF).collect()
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in mixed.collect())
+
+
+def test_suffix_hot_token(spark, monkeypatch):
+    """One 16-gram in very many contexts: its strings are split by later bytes, and no bucket holds much more than its share."""
+    rnd = random.Random(3)
+    gram = b"the hot sixteen "
+    texts = [bytes(rnd.choices(b"abcdefgh ", k=34)) + gram + bytes(rnd.choices(b"abcdefgh ", k=34)) for _ in range(20_000)]
+    data = b"".join(texts)
+    chunk = suffix_dedup.Chunk(list(range(len(texts))), [len(t) for t in texts], suffix_dedup.zstandard.compress(data))
+    several = np.bincount(chunk.which) > 1
+    chunk.segments(several)
+    hot = [(t, x[o : o + 50]) for t, x in zip(chunk.leads.tolist(), chunk.texts) for o in range(len(x) - 49)]
+    assert max(Counter(t for t, _ in hot).values()) > 10_000
+    splitters = suffix_dedup.Splitters.of(rnd.sample(hot, 640), 20)
+    assert len(splitters.hot)
+    chunk = suffix_dedup.Chunk(list(range(len(texts))), [len(t) for t in texts], suffix_dedup.zstandard.compress(data))
+    chunk.segments(several, splitters)
+    strings = Counter()
+    for k, x in zip(chunk.bucket.tolist(), chunk.texts):
+        strings[k] += len(x) - 49
+    assert sum(strings.values()) == len(hot) and max(strings.values()) < 2.5 * len(hot) / 20
+    # through the operator, with buckets so small that tokens are split
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 2_000)
+    monkeypatch.setattr(suffix_dedup, "TOKEN_BYTES", 10_000)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 5_000)
+    few = [t.decode() for t in texts[:300]] + [t[:60].decode() + "zzz" for t in texts[:40]] + [texts[0].decode()]
+    got = {r.id: r.n_removed for r in suffix_dedup.suffix_dedup(frame(spark, few)).collect()}
+    assert all(got[i] == 0 for i in range(300)) and all(got[300 + i] == 60 for i in range(40)) and got[340] == 84

@@ -52,6 +52,12 @@ def write(df: DataFrame, path: str) -> None:
         spark.conf.set(CLEANUP, before)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """About how many bytes ``df`` has, as Spark's statistics tell without reading it; 0 where they can't."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any longer."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

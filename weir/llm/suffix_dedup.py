@@ -1,33 +1,43 @@
 """Removal of byte strings of ``LENGTH`` that also start in a document with a smaller id.
 
-All suffixes that can match are compared, each by its first LENGTH bytes, as a suffix
-array would compare them; but only those that can match are sorted, and they are dealt by
-a leading token that can stand anywhere in those bytes:
-
-1. The leading token of a suffix is the 16-gram of least hash within its LENGTH bytes.
-   Equal strings have equal leading tokens; neighbouring suffixes mostly share one, so a
-   run of them is one segment of bytes. Tokens of one document alone are left out.
-2. Range splitters deal the tokens to buckets. Tokens are hashes, so even splitters are the
-   quantiles that a sample of them would give, and a token is never on both sides of one:
-   nothing is to be compared across buckets.
+Every suffix that can match is compared by its first LENGTH bytes, its string. Strings are
+ordered by their leading token and then by their bytes, and range-partitioned by sampled
+splitters in that order; each bucket sorts its own by a multikey quicksort.
+
+1. The leading token of a string is the 16-gram of least hash in it. Equal strings have
+   equal leading tokens, and neighbouring strings mostly share one, so a run of them
+   travels as one segment of bytes instead of LENGTH bytes a string. Chunks of texts tell
+   each token once, with the least and greatest id and the least and greatest hash of the
+   segments that have it. A token of one document is left out. A token with one segment
+   is decided at once: all copies of that segment have the same strings, and the least id
+   keeps them.
+2. Strings of the other tokens are sampled for splitters. A splitter is a token, or a
+   token and a whole string where one token has several splitters: such a hot token's
+   strings are dealt one by one, by their later bytes, so that no token needs to fit a
+   bucket. Equal strings are always on one side of a splitter, so what would have to be
+   compared across boundaries never lies on both sides of one.
 3. Equal segments collapse to the least id that has them, first within a chunk of texts,
-   then in their bucket; all suffixes of a segment's other documents go at once. Each
-   bucket sorts the suffixes of what remains by a multikey sort, 8 bytes a step, refining
+   then in their bucket; all strings of a segment's other documents go at once. Each
+   bucket sorts the strings of what remains by multikey quicksort, 8 bytes a step, refining
    ties only, and equal neighbours get the least id among them.
 
-Texts are packed into chunks of about CHUNK bytes, written once, compressed. What chunks
-and buckets tell each other are blocks of numbers, one a chunk and bucket: first which
-tokens there are and whether other documents have them, then the segments of those and
-what is to be removed of them. Numbers are in the order of tokens, which each chunk finds
-again from its texts, so no places are sent.
+Texts are packed into chunks, written once, compressed. What chunks and buckets tell each
+other are blocks of numbers, one a chunk and bucket. Chunks grow with the fourth root of
+the input and buckets with its square root, so that the number of blocks stays in
+proportion to the input. Numbers are in the order of tokens, which each chunk finds again
+from its texts, so no places are sent.
 
 Strings never cross documents and are judged on the input. Rows that repeat an id don't
 count against each other. A null text is an empty one; a row with a null id is kept whole
-and counts against no other.
+and counts against no other. Very long texts are worked on in slices of PIECE bytes, but
+stand in one chunk. Equal texts are a tie that the least id wins. An empty table gives an
+empty table. Only the id and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import uuid
 
 import numpy as np
@@ -37,13 +47,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import cuts, mix, pack, unpack
-from .common import table, written
+from .common import plan_bytes, table, written
 
 LENGTH, TOKEN = 50, 16
-#: Bytes of a chunk, and of what is worked on at once; suffixes of one segment at most.
-CHUNK, PIECE, RUN = 1 << 20, 1 << 17, 64
-#: Suffixes that a bucket sorts at once, whole tokens apart; bytes of text for each bucket of tokens and of segments.
+#: Bytes of a chunk of up to UNIT bytes of input, and of what is worked on at once; suffixes of one segment at most.
+CHUNK, PIECE, RUN, UNIT = 1 << 20, 1 << 17, 64, 1 << 30
+#: Suffixes that a bucket sorts at once, whole tokens apart; bytes of text for each bucket of tokens and of segments, of up to UNIT bytes of input.
 SORT, TOKEN_BYTES, SEGMENT_BYTES = 1 << 18, 8 << 20, 4 << 20
+#: Sampled strings for each splitter; of n chunks, SAMPLE_CHUNKS and one in SAMPLE_SHARE are sampled.
+SAMPLES, SAMPLE_CHUNKS, SAMPLE_SHARE = 32, 16, 64
 _U = np.uint64
 WORDS = [*range(0, LENGTH - 7, 8), LENGTH - 8]
 
@@ -81,6 +93,21 @@ def packed(rows):
         yield np.frombuffer(b"".join(parts), np.uint8), spots
 
 
+#: An odd base of the segments' hash, and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def segment_hashes(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each run: a polynomial over the mixed 8-grams from each of its places on."""
+    grams = mix(eight(data) + _U(_BASE))
+    down, up = np.full(len(grams), _INVERSE, np.uint64), np.full(len(grams), _BASE, np.uint64)
+    down[0] = up[0] = 1
+    down, up = np.cumprod(down, dtype=np.uint64), np.cumprod(up, dtype=np.uint64)
+    sums = np.concatenate([[_U(0)], np.cumsum(grams * down, dtype=np.uint64)])
+    return mix((sums[at + n + LENGTH - 8] - sums[at]) * up[at] + n.astype(np.uint64))
+
+
 def runs(data: np.ndarray, spots: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(spot, place, suffixes, token) of each run of suffixes with one leading token."""
     tokens = leading_tokens(data)
@@ -128,31 +155,61 @@ def _sorted_bucket(tokens: np.ndarray, ids: np.ndarray, segments: list[bytes]) -
     return np.split(offset[found], np.cumsum(np.bincount(owner[found], minlength=len(segments)))[:-1])
 
 
-def _chunks(batches):
-    """Texts gathered to chunks: ids, sizes in bytes, and the bytes."""
-    ids, parts, size = [], [], 0
+def _chunks(most: int):
+    """Texts gathered to chunks of about ``most`` bytes: ids, sizes in bytes, and the bytes."""
+
+    def run(batches):
+        ids, parts, size = [], [], 0
+
+        def row():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in parts]], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(parts), 3)], pa.binary())], names=["chunk", "ids", "sizes", "data"]
+            )
+
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = x.as_buffer().to_pybytes() if x.is_valid else b""
+                ids.append(i), parts.append(text)
+                size += len(text)
+                if size >= most:
+                    yield row()
+                    ids, parts, size = [], [], 0
+        if ids:
+            yield row()
+
+    return run
+
+
+class Splitters:
+    """Bounds between buckets in the order of (token, string); a bound is a token, or a token and a string."""
+
+    def __init__(self, bounds: list[tuple[int, bytes]]):
+        self.bounds = bounds
+        self.tokens = np.array([t for t, _ in bounds], np.uint64)
+        self.hot = np.unique(np.array([t for t, x in bounds if x], np.uint64))
+
+    @classmethod
+    def of(cls, sample: list[tuple[int, bytes]], buckets: int) -> Splitters:
+        """Evenly spaced ones of a sample; the first of a token is the token alone, so that only tokens with several are split."""
+        ranked = sorted(sample)
+        picked = sorted({ranked[k * len(ranked) // buckets] for k in range(1, buckets)}) if ranked else []
+        return cls([(t, b"" if k == 0 or picked[k - 1][0] != t else x) for k, (t, x) in enumerate(picked)])
 
-    def row():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in parts]], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(parts), 3)], pa.binary())], names=["chunk", "ids", "sizes", "data"]
-        )
+    def __len__(self) -> int:
+        return len(self.bounds) + 1
 
-    for batch in batches:
-        for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = x.as_buffer().to_pybytes() if x.is_valid else b""
-            ids.append(i), parts.append(text)
-            size += len(text)
-            if size >= CHUNK:
-                yield row()
-                ids, parts, size = [], [], 0
-    if ids:
-        yield row()
+    def buckets(self, leads: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """The bucket of each segment; one of a hot token is a single string."""
+        found = np.searchsorted(self.tokens, leads, "right")
+        for i in np.flatnonzero(np.isin(leads, self.hot)).tolist():
+            found[i] = bisect.bisect_right(self.bounds, (int(leads[i]), texts[i]))
+        return found
 
 
 class Chunk:
     """The runs of a chunk's texts, and the order of its tokens and segments."""
 
-    def __init__(self, ids: list, sizes: list[int], data: bytes):
+    def __init__(self, ids: list, sizes: list[int], data: bytes, hashed: bool = False):
         self.ids, self.sizes, self.data = ids, np.array(sizes, np.int64), zstandard.decompress(data)
         self.begins = np.cumsum(self.sizes) - self.sizes
         found = []
@@ -160,33 +217,50 @@ class Chunk:
         for piece, spots in packed(rows):
             spot, place, n, token = runs(piece, spots)
             row, at, begin = (np.array([x[k] for x in spots], np.int64)[spot] for k in (0, 1, 2))
-            found.append((row, place - begin + at, n, token))
-        self.row, self.start, self.n, self.token = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        self.owner = np.array([i or 0 for i in ids], np.int64)[self.row]
+            found.append((row, place - begin + at, n, token, segment_hashes(piece, place, n) if hashed else token))
+        self.row, self.start, self.n, self.token, self.hash = (np.concatenate(x) for x in zip(*found)) if found else (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         self.tokens, self.which = np.unique(self.token, return_inverse=True)
 
-    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        """The least and the greatest id that has each token."""
+    @property
+    def owner(self) -> np.ndarray:
+        """The id that each run is of."""
+        return np.array([i or 0 for i in self.ids], np.int64)[self.row]
+
+    def bounds(self) -> list[np.ndarray]:
+        """The least and the greatest id, and the least and the greatest segment hash, of each token."""
         order = np.argsort(self.which, kind="stable")
         starts = np.searchsorted(self.which[order], np.arange(len(self.tokens)))
-        return (f.reduceat(self.owner[order], starts) if len(starts) else np.zeros(0, np.int64) for f in (np.minimum, np.maximum))
-
-    def segments(self, shared: np.ndarray) -> None:
-        """Finds the distinct segments of shared tokens: kept (runs), segment (of each), texts, leads (tokens), least ids."""
-        self.kept = np.flatnonzero(shared[self.which])
-        places = self.begins[self.row[self.kept]] + self.start[self.kept]
+        return [f.reduceat(x, starts) if len(starts) else x for x in (self.owner[order], self.hash[order]) for f in (np.minimum, np.maximum)]
+
+    def segments(self, several: np.ndarray, splitters: Splitters | None = None) -> None:
+        """Finds the distinct segments of tokens that have several, in the order of buckets: kept (runs), segment (of each), texts, leads (tokens), bucket, least ids."""
+        kept = np.flatnonzero(several[self.which])
+        if splitters and len(splitters.hot):  # strings of hot tokens stand alone
+            alone = np.isin(self.token[kept], splitters.hot)
+            times = np.where(alone, self.n[kept], 1)
+            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            one, kept = np.repeat(alone, times), np.repeat(kept, times)
+            self.row, self.token, self.n, self.start = self.row[kept], self.token[kept], np.where(one, 1, self.n[kept]), self.start[kept] + inner
+        else:
+            self.row, self.token, self.n, self.start = self.row[kept], self.token[kept], self.n[kept], self.start[kept]
+        places = self.begins[self.row] + self.start
         known: dict[bytes, int] = {}
-        number = np.array([known.setdefault(self.data[p : p + n + LENGTH - 1], len(known)) for p, n in zip(places.tolist(), self.n[self.kept].tolist())], np.int64)
+        number = np.array([known.setdefault(self.data[p : p + n + LENGTH - 1], len(known)) for p, n in zip(places.tolist(), self.n.tolist())], np.int64)
         first = np.full(len(known), -1, np.int64)
         first[number[::-1]] = np.arange(len(number))[::-1]
-        leads = self.token[self.kept[first]] if len(known) else np.zeros(0, np.uint64)
-        order = np.argsort(leads, kind="stable")
+        leads, texts = self.token[first] if len(known) else np.zeros(0, np.uint64), list(known)
+        bucket = splitters.buckets(leads, texts) if splitters else np.zeros(len(known), np.int64)
+        order = np.lexsort((leads, bucket))
         back = np.empty(len(known), np.int64)
         back[order] = np.arange(len(known))
-        texts = list(known)
-        self.segment, self.texts, self.leads = back[number], [texts[i] for i in order], leads[order]
+        self.segment, self.texts, self.leads, self.bucket = back[number], [texts[i] for i in order], leads[order], bucket[order]
         self.least = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(self.least, self.segment, self.owner[self.kept])
+        np.minimum.at(self.least, self.segment, self.owner)
+
+    def parts(self):
+        """(bucket, from, to) of the segments."""
+        edges = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1], [True]])) if len(self.bucket) else np.zeros(1, np.int64)
+        return [(int(self.bucket[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:])]
 
 
 def _blocks(rows, *names_types):
@@ -202,9 +276,9 @@ def _tell_tokens(buckets: int):
     def run(batches):
         for batch in batches:
             for number, ids, sizes, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                chunk = Chunk(ids, sizes, data)
-                low, high = chunk.bounds()
-                yield _blocks([(k, number, pack(chunk.tokens[a:b], low[a:b], high[a:b] - low[a:b])) for k, a, b in cuts(chunk.tokens, buckets)], *BLOCK)
+                chunk = Chunk(ids, sizes, data, hashed=True)
+                low, high, first, last = chunk.bounds()
+                yield _blocks([(k, number, pack(chunk.tokens[a:b], low[a:b], high[a:b] - low[a:b], first[a:b], first[a:b] ^ last[a:b])) for k, a, b in cuts(chunk.tokens, buckets)], *BLOCK)
 
     return run
 
@@ -214,30 +288,61 @@ def _answer(table: pa.Table, answers: list[bytes]) -> pa.Table:
 
 
 def _find_shared(table: pa.Table) -> pa.Table:
-    """For each chunk's tokens, whether several documents have them."""
-    parts = [unpack(x, np.uint64, np.int64, np.int64) for x in table.column("block").to_pylist()]
-    token, low, more = (np.concatenate(x) for x in zip(*parts))
+    """For each chunk's tokens, whether several documents have them, and if so whether in several segments; the least id of those in one."""
+    parts = [unpack(x, np.uint64, np.int64, np.int64, np.uint64, np.uint64) for x in table.column("block").to_pylist()]
+    token, low, more, first, last = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(token, kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
-    several = np.minimum.reduceat(low[order], starts) < np.maximum.reduceat((low + more)[order], starts)
-    shared = np.empty(len(token), bool)
-    shared[order] = np.repeat(several, np.diff(np.concatenate([starts, [len(token)]])))
-    return _answer(table, [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum([len(x[0]) for x in parts])[:-1])])
+    times = np.diff(np.concatenate([starts, [len(token)]]))
+
+    def told(values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(token), values.dtype)
+        out[order] = np.repeat(values, times)
+        return out
+
+    least = np.minimum.reduceat(low[order], starts)
+    shared = told(least < np.maximum.reduceat((low + more)[order], starts))
+    several = told(np.minimum.reduceat(first[order], starts) != np.maximum.reduceat((first ^ last)[order], starts)) & shared
+    least, ends = told(least), np.cumsum([len(x[0]) for x in parts])[:-1]
+    return _answer(table, [pack(np.packbits(x), np.packbits(y), z[x & ~y]) for x, y, z in zip(*(np.split(v, ends) for v in (shared, several, least)))])
+
 
+def _told(chunk: Chunk, told: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of a chunk, whether it has several segments, and otherwise the least id that has it (none: the greatest number)."""
+    answers = {x["bucket"]: unpack(x["block"], np.uint8, np.uint8, np.int64) for x in told or ()}
+    several, least = np.zeros(len(chunk.tokens), bool), np.full(len(chunk.tokens), np.iinfo(np.int64).max)
+    for k, a, b in cuts(chunk.tokens, buckets):
+        shared, many = (np.unpackbits(x, count=b - a).astype(bool) for x in answers[k][:2])
+        several[a:b] = many
+        least[a:b][shared & ~many] = answers[k][2]
+    return several, least
 
-def _shared_of(chunk: Chunk, told: list[dict] | None, buckets: int) -> np.ndarray:
-    answers = {x["bucket"]: x["block"] for x in told or ()}
-    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(answers[k], np.uint8), count=b - a).astype(bool) for k, a, b in cuts(chunk.tokens, buckets))])
+
+def _sample(tokens: int, share: float):
+    """Strings of tokens with several segments, a share of them by their hash."""
+
+    def run(batches):
+        for batch in batches:
+            for _, ids, sizes, data, told in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                chunk = Chunk(ids, sizes, data)
+                chunk.segments(_told(chunk, told, tokens)[0])
+                sizes = np.array([len(x) - LENGTH + 1 for x in chunk.texts], np.int64)
+                which = np.repeat(np.arange(len(sizes)), sizes)
+                offset = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                picked = np.flatnonzero(mix(chunk.leads[which] + _U(0x9E3779B97F4A7C15) * (offset.astype(np.uint64) + mix(which.astype(np.uint64)))) < _U(min(2**64 - 1, int(share * 2**64))))
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.leads[which[picked]].view(np.int64)), pa.array([chunk.texts[i][o : o + LENGTH] for i, o in zip(which[picked].tolist(), offset[picked].tolist())], pa.binary())], names=["token", "string"])
+
+    return run
 
 
-def _tell_segments(tokens: int, buckets: int):
+def _tell_segments(tokens: int, splitters: Splitters):
     def run(batches):
         for batch in batches:
             for number, ids, sizes, data, told in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 chunk = Chunk(ids, sizes, data)
-                chunk.segments(_shared_of(chunk, told, tokens))
+                chunk.segments(_told(chunk, told, tokens)[0], splitters)
                 lengths = np.array([len(x) for x in chunk.texts], np.uint8)
-                yield _blocks([(k, number, pack(chunk.leads[a:b], chunk.least[a:b], lengths[a:b], b"".join(chunk.texts[a:b]))) for k, a, b in cuts(chunk.leads, buckets)], *BLOCK)
+                yield _blocks([(k, number, pack(chunk.leads[a:b], chunk.least[a:b], lengths[a:b], b"".join(chunk.texts[a:b]))) for k, a, b in chunk.parts()], *BLOCK)
 
     return run
 
@@ -287,24 +392,27 @@ def merged_spans(starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]
     return list(zip(low[new].tolist(), high[np.concatenate([new[1:] - 1, [len(low) - 1]])].tolist()))
 
 
-def _cut(tokens: int, buckets: int):
+def _cut(tokens: int, splitters: Splitters):
     names = (("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()))
 
     def run(batches):
         for batch in batches:
             for _, ids, sizes, data, told, judged in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 chunk = Chunk(ids, sizes, data)
-                chunk.segments(_shared_of(chunk, told, tokens))
+                several, low = _told(chunk, told, tokens)
+                copies = np.flatnonzero(chunk.owner > low[chunk.which])
+                decided = chunk.row[copies], chunk.start[copies], chunk.n[copies]
+                chunk.segments(several, splitters)
                 answers = {x["bucket"]: unpack(x["block"], np.int64, np.uint8, np.uint8) for x in judged or ()}
-                found = [answers[k] for k, _, _ in cuts(chunk.leads, buckets)]
+                found = [answers[k] for k, _, _ in chunk.parts()]
                 least, counts, offsets = (np.concatenate([np.zeros(0, t), *(x[k] for x in found)]) for k, t in enumerate((np.int64, np.uint8, np.uint8)))
-                kept, segment = chunk.kept, chunk.segment
-                whole = chunk.owner[kept] > least[segment]
+                segment = chunk.segment
+                whole = chunk.owner > least[segment]
                 parts = np.flatnonzero(~whole & (counts[segment] > 0))
                 ends = np.cumsum(counts, dtype=np.int64)
-                single = np.concatenate([np.zeros(0, np.int64), *(chunk.start[kept[i]] + offsets[ends[segment[i]] - counts[segment[i]] : ends[segment[i]]] for i in parts)])
-                row = np.concatenate([chunk.row[kept[whole]], np.repeat(chunk.row[kept[parts]], counts[segment[parts]])])
-                start, n = np.concatenate([chunk.start[kept[whole]], single]), np.concatenate([chunk.n[kept[whole]], np.ones(len(single), np.int64)])
+                single = np.concatenate([np.zeros(0, np.int64), *(chunk.start[i] + offsets[ends[segment[i]] - counts[segment[i]] : ends[segment[i]]] for i in parts)])
+                row = np.concatenate([decided[0], chunk.row[whole], np.repeat(chunk.row[parts], counts[segment[parts]])])
+                start, n = np.concatenate([decided[1], chunk.start[whole], single]), np.concatenate([decided[2], chunk.n[whole], np.ones(len(single), np.int64)])
                 order = np.argsort(row, kind="stable")
                 row, start, n = row[order], start[order], n[order]
                 edges, out = np.searchsorted(row, np.arange(len(ids) + 1)), []
@@ -324,9 +432,10 @@ def _cut(tokens: int, buckets: int):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = written(rows.mapInArrow(_chunks, "chunk long, ids array<long>, sizes array<long>, data binary"), "chunks")
-    total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).head()[0] or 0
-    tokens, segments = max(1, total // TOKEN_BYTES), max(1, total // SEGMENT_BYTES)
+    chunks = written(rows.mapInArrow(_chunks(int(CHUNK * max(1.0, plan_bytes(rows) / UNIT) ** 0.25)), "chunk long, ids array<long>, sizes array<long>, data binary"), "chunks")
+    total, number = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.count(F.lit(1))).head()
+    total, growth = total or 0, math.sqrt(max(1.0, (total or 0) / UNIT))
+    tokens, segments = max(1, int(total / (TOKEN_BYTES * growth))), max(1, int(total / (SEGMENT_BYTES * growth)))
 
     def answered(told: DataFrame, answer, name: str) -> DataFrame:
         """What the buckets answer, by chunk: a chunk has one block a bucket at most."""
@@ -334,10 +443,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "block")).alias(name)).hint("shuffle_hash")
 
     shared = answered(chunks.mapInArrow(_tell_tokens(tokens), BLOCK_SCHEMA), _find_shared, "shared")
-    told = chunks.join(shared, "chunk", "left").select("chunk", "ids", "sizes", "data", "shared").mapInArrow(_tell_segments(tokens, segments), BLOCK_SCHEMA)
+    share = min(1.0, SAMPLE_CHUNKS / max(1, number) + 1 / SAMPLE_SHARE)
+    some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 62)) < int(share * (1 << 62))).join(shared, "chunk", "left").select("chunk", "ids", "sizes", "data", "shared")
+    # about a tenth of all strings belong to tokens with several segments
+    sample = some.mapInArrow(_sample(tokens, min(1.0, SAMPLES * segments / max(1.0, 0.1 * total * share))), "token long, string binary").collect()
+    splitters = Splitters.of([(x.token & (1 << 64) - 1, bytes(x.string)) for x in sample], segments)
+    told = chunks.join(shared, "chunk", "left").select("chunk", "ids", "sizes", "data", "shared").mapInArrow(_tell_segments(tokens, splitters), BLOCK_SCHEMA)
     judged = answered(told, _judge, "judged")
     both = chunks.join(shared, "chunk", "left").join(judged, "chunk", "left").select("chunk", "ids", "sizes", "data", "shared", "judged")
-    return both.mapInArrow(_cut(tokens, segments), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(_cut(tokens, splitters), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
