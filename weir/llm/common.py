@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop_path, fresh_path, kept, temporary, write, written  # noqa: F401  for the operators
+
 #: Words of the near-duplicate and quality operators: everything between ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_folders: dict[str, str] = {}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,49 +19,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        base = _own_folders.setdefault(app, tempfile.mkdtemp(prefix="weir-"))
-    return f"{base.rstrip('/')}/weir/{app}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends there, and it survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    write(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def write(df: DataFrame, path: str) -> None:
-    """Writes Parquet; the shuffle files of the query go when it has ended, as nothing reads them again."""
-    spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """About how many bytes ``df`` has, as Spark's statistics tell without reading it; 0 where they can't."""
     found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return found if found < 1 << 60 else 0
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that nothing reads any longer."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(text, UPPER, LOWER)

@@ -5,8 +5,11 @@ A line is boilerplate of a host if the pages of the host that contain it are mor
 for hosts of any size: a line of one page alone repeats nothing, even if it is the host's
 only page. Lines without a visible character are neither counted nor dropped. Rows without
 a host are left alone. A null text stays null. A row is a page, so rows that
-repeat count each. Columns keep their names; those added replace columns of that name.
-An empty table gives an empty table.
+repeat count each; lines with the same number of pages are all judged alike. Columns keep
+their names; those added replace columns of that name. An empty table gives an empty
+table. A very long text is split within its row, so it must fit a task; its lines are
+counted one by one. Lines are equal if their 64-bit hashes are: of 10^10 lines of a host
+one is dropped wrongly with a probability under 10^-5.
 """
 
 from __future__ import annotations
@@ -17,8 +20,6 @@ from pyspark.sql import functions as F
 from .common import let, table, written
 
 RATIO, COPIES = 0.1, 2
-#: ``OP10_SQL`` alone leaves hosts with fewer pages than this alone; the operator doesn't.
-MIN_PAGES = 20
 #: Ends of a page's text blocks, each of which counts as the end of a line.
 BLOCK_END = r"(</(?:p|li|div|h[1-6]|nav|ul|ol|title|script|style|article|section|header|footer|table|tr)>|<br ?/?>)"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -83,14 +84,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(pages, "host", "text").select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def line_dedup_sql(rows: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
+def line_dedup_sql(rows: str, ratio: float = RATIO, copies: int = COPIES) -> str:
     """DuckDB CTEs up to ``deduped(id, host, text, n_lines, n_dropped)`` from a query of id, host and text."""
     return f"""
 src AS ({rows}),
 lines AS (SELECT id, host, s.i AS i, s.l AS l, regexp_matches(s.l, '[^\\s]') AS visible
   FROM (SELECT id, host, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'i': i, 'l': x}})) AS s FROM src WHERE text IS NOT NULL)),
-totals AS (SELECT host, count(*) AS pages FROM src WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= {min_pages}),
-common AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT id) AS n FROM lines WHERE visible AND host IS NOT NULL GROUP BY host, l) JOIN totals USING (host) WHERE n / pages > {ratio}),
+totals AS (SELECT host, count(*) AS pages FROM src WHERE host IS NOT NULL GROUP BY host),
+common AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT id) AS n FROM lines WHERE visible AND host IS NOT NULL GROUP BY host, l) JOIN totals USING (host) WHERE n >= {copies} AND n / pages > {ratio}),
 kept AS (SELECT a.id, count(*) AS n_lines, count(*) FILTER (c.l IS NOT NULL AND a.visible) AS n_dropped,
     coalesce(string_agg(a.l, chr(10) ORDER BY a.i) FILTER (c.l IS NULL OR NOT a.visible), '') AS text
   FROM lines a LEFT JOIN common c ON a.host = c.host AND a.l = c.l GROUP BY a.id),
