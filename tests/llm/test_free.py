@@ -45,8 +45,54 @@ def test_mixture_proportions():
     rnd = np.random.default_rng(1)
     p = rnd.dirichlet(np.full(300, 0.3), 3).T
     n = rnd.multinomial(200_000, p @ [0.6, 0.3, 0.1]).astype(float)
-    share, _ = language_id.mixture(p, n, 200)
-    assert np.abs(share - [0.6, 0.3, 0.1]).max() < 0.02
+    share, _, converged = language_id.mixture(p, n, 200)
+    assert np.abs(share - [0.6, 0.3, 0.1]).max() < 0.02 and converged
+    assert not language_id.mixture(p, n, 2)[2]
+
+
+def test_language_selection_by_brute_force():
+    """The chosen set against all nested sets, fitted one by one to the end by plain loops."""
+    rnd = random.Random(11)
+    letters = {"aa": "abcde", "bb": "efghi", "cc": "aeimno", "dd": "opqrst"}
+    say = lambda name, k: " ".join("".join(rnd.choices(letters[name], k=5)) for _ in range(k))
+    names = sorted(letters)
+    p = np.full((1 << language_id.BITS, 4), 0.5)
+    for k, name in enumerate(names):
+        p[:, k] += language_id.trigram_counts(say(name, 4000))[0]
+    p /= p.sum(0)
+
+    def em(columns, counts):
+        share = [1 / len(columns)] * len(columns)
+        for _ in range(3000):
+            new = [0.0] * len(columns)
+            for b, c in counts.items():
+                parts = [s * p[b, k] for s, k in zip(share, columns)]
+                for j, x in enumerate(parts):
+                    new[j] += c * x / sum(parts)
+            new = [x / sum(counts.values()) for x in new]
+            close = max(abs(a - b) for a, b in zip(share, new)) < language_id.CLOSE
+            share = new
+            if close:
+                break
+        return share, sum(c * np.log(sum(s * p[b, k] for s, k in zip(share, columns))) for b, c in counts.items())
+
+    for plan in ({"aa": 40}, {"aa": 60, "bb": 30}, {"cc": 30, "dd": 25, "aa": 40}, {"dd": 3}, {"aa": 50, "bb": 1}):
+        text = " ".join(say(name, k) for name, k in plan.items())
+        counts = {int(b): int(c) for b, c in enumerate(language_id.trigram_counts(text)[0]) if c}
+        share, _ = em(list(range(4)), counts)
+        order = sorted(range(4), key=lambda k: -share[k])
+        fits = [(em(order[:size], counts), order[:size]) for size in range(1, 5)]
+        (own, _), chosen = max(fits, key=lambda f: f[0][1] - 0.5 * (len(f[1]) - 1) * np.log(sum(counts.values())))
+        lang, score, languages, converged = language_id.detect(text, names, p)
+        want = sorted(zip(own, (names[k] for k in chosen)), reverse=True)
+        assert converged and lang == want[0][1] and abs(score - want[0][0]) < 1e-3
+        assert [x.split(":")[0] for x in languages.split(",")] == [x for _, x in want]
+
+
+def test_language_repeats_and_ties(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i in range(0, 12) for t, lang in (("the cat", "en"), ("the cat", "ab"))], "doc_id long, text string, lang string")
+    got = language_id.language_id(docs.where("doc_id < 3"), language_id.learn(docs, rows=10**12)).collect()
+    assert len(got) == 6 and {r.lang_pred for r in got} == {"ab"}  # equal languages: the first in the alphabet
 
 
 def test_warc(spark, tmp_path):
@@ -314,3 +360,81 @@ def test_suffix_hot_token(spark, monkeypatch):
     few = [t.decode() for t in texts[:300]] + [t[:60].decode() + "zzz" for t in texts[:40]] + [texts[0].decode()]
     got = {r.id: r.n_removed for r in suffix_dedup.suffix_dedup(frame(spark, few)).collect()}
     assert all(got[i] == 0 for i in range(300)) and all(got[300 + i] == 60 for i in range(40)) and got[340] == 84
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Every stage on clashing columns, nulls in every column, repeated rows and the empty table."""
+    import corpus_pipeline as cp
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, "some words without an id", "en", None, 5), (7001, None, None, "src1", None), (7002, "", "en", "src1", 0)], base.schema)
+    docs = base.unionByName(base.limit(5)).unionByName(nulls)
+    clash = ["score", "lang_pred", "languages", "n_lines", "n_dropped", "n_tokens", "rate", "p_good", "id", "component", "keys", "__p"]
+    for c in clash:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in clash), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert cp.encode(spark, docs, SF).count() == docs.count() and cp.encode(spark, docs.limit(0), SF).count() == 0
+
+
+def test_mixing_keeps_fitted_totals(spark):
+    import corpus_pipeline as cp
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    members = mixing.memberships(docs, labels)
+    rows, got = mixing.fit_rates(members, cp.WEIGHTS, full="good")
+    sums = rows.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")) for d in mixing.DOMAINS]).head()
+    assert all(abs(a - got[d]) < 1e-6 * sum(got.values()) for a, d in zip(sums, mixing.DOMAINS))
+    share = {d: x / sum(got.values()) for d, x in got.items()}
+    assert all(abs(share[d] - cp.WEIGHTS[d]) < 0.01 for d in mixing.DOMAINS)
+    assert rows.where("p_good > 0.5 AND rate <> 1").count() == 0
+    left = cp.mix_sources(spark, docs, folder).select("doc_id").distinct().join(rows, "doc_id")
+    kept = left.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in mixing.DOMAINS]).head()
+    assert all(abs(a - got[d]) < 0.03 * sum(got.values()) for a, d in zip(kept, mixing.DOMAINS))
+
+
+def test_mixing_posteriors_by_brute_force(spark):
+    """Posteriors against a plain naive Bayes with decisive words, in Python."""
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    rows, marks = [], []
+    for i in range(260):
+        toxic, poor = i % 5 == 0, i % 5 == 1
+        text = rnd.choices(words[:200] if not poor else words[150:], k=10) + (["vile"] if toxic and i % 2 else rnd.choices(words[280:], k=8) if toxic or i % 11 == 2 else [])
+        rows.append((i, " ".join(text)))
+        marks.append((i, 0 if poor else 1, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: (r.p_good, r.p_poor, r.p_toxic) for r in mixing.memberships(docs, labels).collect()}
+    bucket = {r.w: (r.h, r.b) for r in spark.createDataFrame([(w,) for w in [*words, "vile"]], "w string").select("w", F.xxhash64("w").alias("h"), mixing._bucket(F.xxhash64("w")).alias("b")).collect()}
+    domain = [2 if t else 1 if not q else 0 for _, q, t in marks]
+    counts, n = [[0.1] * mixing.BUCKETS for _ in range(3)], Counter(domain)
+    for (_, text), d in zip(rows, domain):
+        for w in text.split():
+            counts[d][bucket[w][1]] += 1
+    logs = [[np.log(n[d] / 260) + sum(np.log(counts[d][bucket[w][1]] / sum(counts[d])) for w in text.split()) for d in range(3)] for _, text in rows]
+    plain = [np.exp(np.array(x) - max(x)) / np.exp(np.array(x) - max(x)).sum() for x in logs]
+    vile = sum("vile" in t for _, t in rows)
+    sure = mixing.lower_bound(vile, vile)
+    assert sure > mixing.DECISIVE
+    taken = [(p[2] > 0.5, d == 2) for p, (_, t), d in zip(plain, rows, domain) if "vile" not in t]
+    trust = sum(d for t, d in taken if t) / sum(t for t, _ in taken) if any(t for t, _ in taken) else 1.0
+    for (i, text), p, x in zip(rows, plain, logs):
+        doubt = 1 - sure if "vile" in text else 1.0
+        bad = 1 - doubt * (1 - p[2] * trust)
+        rest = np.exp(np.array(x[:2]) - max(x[:2]))
+        want = [*(rest / rest.sum() * (1 - bad)), bad]
+        assert max(abs(a - b) for a, b in zip(got[i], want)) < 3 / mixing.GRAIN, (i, got[i], want)
+    assert all(got[i][2] > 0.75 for i, t in rows if "vile" in t)
+
+
+def test_mixing_clashing_columns_and_repeats(spark):
+    docs = frame(spark, ["good words here", "idiot moron", "words"]).withColumn("n_tokens", F.lit("x")).withColumn("rate", F.lit(9)).withColumn("p_good", F.lit(None).cast("string"))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(docs.unionByName(docs), labels, keep=docs.columns).collect()
+    assert len(got) == 6 and {r.n_tokens for r in got} == {3, 2, 1} and all(0 <= r.p_good <= 1 and r.rate >= 0 for r in got)
+    assert len({(r.doc_id, r.rate) for r in got}) == 3

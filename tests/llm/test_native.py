@@ -169,6 +169,19 @@ def test_quality_separates_labels(spark):
     assert {r.quality: r.kept for r in got}[1] >= 0.95 and docs.count() > 0
 
 
+def test_quality_drops_bad_and_keeps_good(spark):
+    folder = "/root/testdata/sf0.01"
+    got = quality.op5_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    share = {r.quality: r.kept for r in got}
+    assert share[1] >= 0.99 and share[0] <= 0.1
+
+
+def test_license_names_in_one_word(spark):
+    texts = ["released as GPLv2 only", "under LGPLv3.0 or later", "AGPLv3", "GPLv2+", "the GPL v2 or later", "gplv4"]
+    got = [r.detections for r in license_scan.license_scan(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert [sorted({d.label for d in x}) for x in got] == [["gpl-2-only"], ["lgpl-3-or-later"], ["agpl-3"], ["gpl-2"], ["gpl-2-or-later"], []]
+
+
 def test_line_dedup(spark):
     import random
 

@@ -12,6 +12,8 @@ from ..scratch import drop_path, fresh_path, kept, temporary, write, written  #
 #: Words of the near-duplicate and quality operators: everything between ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows are sampled if a hash modulo this is under a share of it; so fine that no number of rows makes a share of 0.
+SHARE = 1 << 62
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def share_of(wanted: int, rows: int) -> int:
+    """The bound of hashes modulo SHARE under which about ``wanted`` of ``rows`` rows lie, all if there are no more."""
+    return SHARE if rows <= wanted else SHARE * wanted // rows
+
+
 def plan_bytes(df: DataFrame) -> int:
     """About how many bytes ``df`` has, as Spark's statistics tell without reading it; 0 where they can't."""
     found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

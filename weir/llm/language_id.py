@@ -3,7 +3,10 @@
 A language is a multinomial over hashed character trigrams. For a text, EM estimates the
 proportions of all learned languages; nested sets of the most frequent ones are fitted
 again, and the set with the best penalised log-likelihood (half of log n for each further
-language) is taken. The predicted language is the one with the largest proportion.
+language) of all of them is taken, the smaller one of two as good. The predicted language
+is the one with the largest proportion, of two the one first in the alphabet. EM goes on
+until no proportion moves by CLOSE; a text whose EM has not got there in MOST_ITERATIONS
+is told by ``converged``.
 
 A text that is null or has no letter is ``und`` with the score 0, and so is every text
 where no language could be learned. Rows without a language or a text teach nothing.
@@ -22,15 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import SHARE, share_of, table
 
 #: Hash buckets of trigrams (a power of two), and the smoothing of their counts.
 BITS, SMOOTHING = 15, 0.5
 #: A bound of the sample that the models are fitted on: about so many labelled rows a language.
 ROWS_A_LANGUAGE = 4_000
-ITERATIONS, SLICE, ROWS = 20, 1 << 20, 512
+CLOSE, MOST_ITERATIONS, SLICE, ROWS = 1e-4, 10_000, 1 << 20, 512
 UNDETERMINED = "und"
-OUTPUTS = {"lang_pred": T.StringType(), "score": T.DoubleType(), "languages": T.StringType()}
+OUTPUTS = {"lang_pred": T.StringType(), "score": T.DoubleType(), "languages": T.StringType(), "converged": T.BooleanType()}
 
 
 @functools.cache
@@ -57,37 +60,38 @@ def trigram_counts(text: str) -> tuple[np.ndarray, bool]:
     return counts, found
 
 
-def mixture(p: np.ndarray, n: np.ndarray, iterations: int = ITERATIONS) -> tuple[np.ndarray, float]:
-    """Proportions of the columns of ``p`` and the log-likelihood of counts ``n``, by EM."""
-    share, total = np.full(p.shape[1], 1 / p.shape[1]), n.sum()
-    for _ in range(iterations if p.shape[1] > 1 else 0):
+def mixture(p: np.ndarray, n: np.ndarray, iterations: int = MOST_ITERATIONS, close: float = CLOSE) -> tuple[np.ndarray, float, bool]:
+    """Proportions of the columns of ``p`` and the log-likelihood of counts ``n``, by EM; whether it converged."""
+    share, total, done = np.full(p.shape[1], 1 / p.shape[1]), n.sum(), p.shape[1] == 1
+    for _ in range(0 if done else iterations):
         mixed = p @ share
         new = share * ((n / mixed) @ p) / total
-        done = np.abs(new - share).max() < 1e-4
+        done = bool(np.abs(new - share).max() < close)
         share = new
         if done:
             break
-    return share, float(n @ np.log(p @ share))
+    return share, float(n @ np.log(p @ share)), done
 
 
-def detect(text: str | None, languages: list[str], p: np.ndarray) -> tuple[str, float, str]:
-    """The predicted language, its proportion, and the chosen set with proportions."""
+def detect(text: str | None, languages: list[str], p: np.ndarray) -> tuple[str, float, str, bool]:
+    """The predicted language, its proportion, the chosen set with proportions, and whether EM converged."""
     counts, letter = trigram_counts(text) if text else (None, False)
     if not letter or not languages:
-        return UNDETERMINED, 0.0, ""
+        return UNDETERMINED, 0.0, "", True
     seen = np.flatnonzero(counts)
     n, q = counts[seen].astype(float), p[seen]
-    share, _ = mixture(q, n)
+    share, _, converged = mixture(q, n)
     order, best = np.argsort(-share, kind="stable"), None
-    for size in range(1, len(order) + 1):
-        own, likelihood = mixture(q[:, order[:size]], n)
+    # a set without languages of next to no proportion says the same with a smaller penalty
+    for size in range(1, 1 + max(1, int((share >= 0.5 / n.sum()).sum()))):
+        own, likelihood, done = mixture(q[:, order[:size]], n)
+        converged &= done
         value = likelihood - 0.5 * (size - 1) * np.log(n.sum())
-        if best and value <= best[0]:
-            break
-        best = (value, own, order[:size])
+        if best is None or value > best[0]:
+            best = (value, own, order[:size])
     _, own, chosen = best
     ranked = sorted(zip(-own, (languages[i] for i in chosen)))
-    return ranked[0][1], float(min(1.0, -ranked[0][0])), ",".join(f"{name}:{-x:.3f}" for x, name in ranked)
+    return ranked[0][1], float(min(1.0, -ranked[0][0])), ",".join(f"{name}:{-x:.3f}" for x, name in ranked), converged
 
 
 def held_out(id_col: Column) -> Column:
@@ -104,8 +108,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     totals = {x[0]: x[1] for x in rows_of.groupBy(lang_col).count().collect()}
     if not totals:
         return [], np.zeros((1 << BITS, 0))
-    limits = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, int(min(1.0, rows / v) * (1 << 20)))])
-    sample = rows_of.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < limits[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    limits = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, share_of(rows, v))])
+    sample = rows_of.where(F.pmod(F.xxhash64(id_col), F.lit(SHARE)) < limits[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
@@ -135,8 +139,8 @@ def language_id(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                made = list(zip(*(detect(x.as_py(), languages, q) for x in part.column(part.schema.get_field_index(name))))) or [(), (), ()]
-                arrays = [pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), pa.array(made[2], pa.string())]
+                made = list(zip(*(detect(x.as_py(), languages, q) for x in part.column(part.schema.get_field_index(name))))) or [(), (), (), ()]
+                arrays = [pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), pa.array(made[2], pa.string()), pa.array(made[3], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *arrays], names=[*kept, *OUTPUTS])
 
     return source.mapInArrow(run, schema)

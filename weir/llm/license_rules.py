@@ -211,6 +211,9 @@ def _families() -> list[tuple[str, int, int, str, str]]:
             found += [(f"{label}-only", 3, 95, name, f"{name} [v] v?{dotted} only"), (f"{label}-or-later", 3, 95, name, f"{name} [v] v?{dotted} or later"), (label, 2, 85, name, f"{name} [v] v?{dotted}"), (label, 2, 85, name, f"{name} version {dotted}")]
             found += [(label, 3, 90, w, f"{long} {LIC} [as] [published] [by] [the] [free] [software] [foundation] [either] version {dotted}") for w in ("license", "licence")]
             found += [(label, 2, 85, w, f"{long} {LIC} v?{dotted}") for w in ("license", "licence")]
+            if " " not in version:  # written as one word
+                word = f"{name}v{version}"
+                found += [(f"{label}-only", 3, 95, word, f"{word} [0] only"), (f"{label}-or-later", 3, 95, word, f"{word} [0] or later"), (f"{label}-or-later", 3, 95, f"{word}plus", f"{word}plus"), (label, 2, 85, word, f"{word} [0]")]
         found += [(name, 2, 70, w, f"{long} {LIC}") for w in ("license", "licence")]
         found.append((name, 1, 40, name, name))
     for suffix, words in (("", ""), ("-sa", " sa"), ("-nc", " nc"), ("-nd", " nd"), ("-nc-sa", " nc sa"), ("-nc-nd", " nc nd")):

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import cuts, mix, pack, unpack
-from .common import plan_bytes, table, written
+from .common import SHARE, plan_bytes, table, written
 
 LENGTH, TOKEN = 50, 16
 #: Bytes of a chunk of up to UNIT bytes of input, and of what is worked on at once; suffixes of one segment at most.
@@ -444,7 +444,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     shared = answered(chunks.mapInArrow(_tell_tokens(tokens), BLOCK_SCHEMA), _find_shared, "shared")
     share = min(1.0, SAMPLE_CHUNKS / max(1, number) + 1 / SAMPLE_SHARE)
-    some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 62)) < int(share * (1 << 62))).join(shared, "chunk", "left").select("chunk", "ids", "sizes", "data", "shared")
+    some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(SHARE)) < int(share * SHARE)).join(shared, "chunk", "left").select("chunk", "ids", "sizes", "data", "shared")
     # about a tenth of all strings belong to tokens with several segments
     sample = some.mapInArrow(_sample(tokens, min(1.0, SAMPLES * segments / max(1.0, 0.1 * total * share))), "token long, string binary").collect()
     splitters = Splitters.of([(x.token & (1 << 64) - 1, bytes(x.string)) for x in sample], segments)
