@@ -26,6 +26,19 @@ def ranged(df: DataFrame, order: str, rows: int = RANGE_ROWS, always: bool = Tru
     return df.withColumn("__range", F.size(F.filter(steps, lambda b: b < F.col(order))))
 
 
+def rank(value: Column, steps: Column, n: int, inclusive: bool = False) -> Column:
+    """How many of the ``n`` ascending entries of a literal array are under the value, or with ``inclusive`` not over it, by binary search."""
+    if not n:
+        return F.lit(0)
+    jumps = [1 << k for k in reversed(range(n.bit_length()))]
+
+    def step(at: Column, jump: Column) -> Column:
+        bound = F.get(steps, at + jump - 1)  # null beyond the last one
+        return F.when(bound <= value if inclusive else bound < value, at + jump).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, jumps)), F.lit(0), step)
+
+
 def _carried(df: DataFrame, value: Column, join: Callable) -> tuple[Column, list]:
     """What comes before each range, from one value a range."""
     found = {r[0]: r[1] for r in df.groupBy("__range").agg(value).collect()}
