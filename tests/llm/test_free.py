@@ -438,3 +438,77 @@ def test_mixing_clashing_columns_and_repeats(spark):
     got = mixing.mix(docs.unionByName(docs), labels, keep=docs.columns).collect()
     assert len(got) == 6 and {r.n_tokens for r in got} == {3, 2, 1} and all(0 <= r.p_good <= 1 and r.rate >= 0 for r in got)
     assert len({(r.doc_id, r.rate) for r in got}) == 3
+
+
+def test_jaccard_repeated_ids(spark):
+    """An id with several texts links whatever any of them links, and no link is lost."""
+    rnd = random.Random(12)
+    a, b, c = ([f"{x}{rnd.randrange(9999)}" for _ in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (8, " ".join(c)), (8, near(b[:-1] + ["x"])), (9, near(c)), (9, near(c)), (11, "alone"), (11, "alone"), (None, " ".join(a)), (20, " ".join(b)), (21, "one more"), (21, None)]
+    got = [(r.id, r.size, r.component) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=80).collect()]
+    known = [x for x in rows if x[0] is not None]
+    want = components_of(known, 3, 80)
+    assert sorted((x for x in got if x[0] is not None)) == sorted(want)
+    assert {i: c for i, _, c in want}[9] == 3 and [x[2] for x in got if x[0] is None] == [None]
+
+
+def test_jaccard_pivots(spark, monkeypatch):
+    """Large groups of near copies, connected by pivots, with others hanging on: as brute force has it."""
+    rnd = random.Random(21)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 9])):
+            words[rnd.randrange(90)] = f"v{rnd.randrange(5000)}"
+        texts.append(" ".join(words))
+    other = [f"o{k}" for k in range(90)]
+    texts += [" ".join(base[:45] + other[:45 - k] + base[:k]) for k in range(12)] + ["short one", "short one", ""]
+    rnd.shuffle(texts)
+    for name, size in (("BLOCK_DOCS", 16), ("SCREEN_DOCS", 24), ("PIVOTS", 4)):
+        monkeypatch.setattr(jaccard_join, name, size)
+    met = []
+    plain = jaccard_join._meet_pivots
+    monkeypatch.setattr(jaccard_join, "_meet_pivots", lambda *a: met.append(a) or plain(*a))
+    got = [(r.id, r.size, r.component) for r in jaccard_join.jaccard_components(frame(spark, texts), n=3, percent=80).collect()]
+    assert sorted(got) == sorted(components_of(list(enumerate(texts)), 3, 80)) and met
+
+
+def test_jaccard_blocks_are_linear():
+    """The number of blocks that keys go in, over three sizes, stays in proportion to the keys."""
+    import math
+
+    blocks = []
+    for keys in (1 << 26, 1 << 30, 1 << 34):
+        growth = math.sqrt(keys / jaccard_join.GROW_KEYS)
+        blocks.append((keys / 30 / (jaccard_join.KEY_ROWS * growth)) * (keys / (jaccard_join.BUCKET_KEYS * growth)) / keys)
+    assert max(blocks) < 1.01 * min(blocks)
+
+
+def test_warc_files_are_bounded(spark, tmp_path):
+    """Files hold about as many bytes as asked for, but for the payloads that are longer."""
+    rnd = random.Random(2)
+    html = ["".join(rnd.choices("abcdef", k=200)) * rnd.randrange(50, 500) for _ in range(300)] + ["z" * 5_000_000, "y" * 5_000_000] + ["same " * 1000] * 150
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    path = str(tmp_path / "archive")
+    warc.write_archives(warc.resolve_revisits(pages, file_bytes=1 << 20), path)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "archive").glob("part-*"))
+    assert len(sizes) > 15 and sizes[-3] < 3 << 20 and sizes[-1] < 8 << 20
+    got = warc.read_archives(spark, path).collect()
+    assert Counter(r.record_type for r in got) == {"response": 303, "revisit": 149} and {r.refers_to for r in got} == {None, "451"}
+    assert {r.record_id: r.payload_bytes for r in got} == {str(i): len(h) for i, h in enumerate(html)}
+
+
+def test_long_texts(spark):
+    """Texts of ten million characters, alike but for an end."""
+    long = "".join(random.Random(1).choices("abcdefgh \n", k=1000)) * 10_000
+    rows = [(1, long), (2, long + " and an end of its own that is longer than fifty bytes by far"), (3, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == len(long) and got[3].n_removed == 0
+    parts = {r.id: r.component for r in jaccard_join.jaccard_components(docs, n=3, percent=90).collect()}
+    assert parts == {1: 1, 2: 1, 3: 3} or parts[2] == 2  # few distinct shingles: either, as brute force says
+    assert parts[2] == {i: c for i, _, c in components_of(rows, 3, 90)}[2]
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert mixing.mix(docs, labels).where("doc_id = 1").head().n_tokens == len(WORD.findall(long))

@@ -222,3 +222,32 @@ def test_hosts(spark):
     urls = ["http://U@A.Example.com:80/x", "https://b.org", "//c.org/x", None, "nothing"]
     got = frame(spark, urls).select("doc_id", line_dedup.url_host(F.col("text")).alias("h")).orderBy("doc_id").collect()
     assert [r.h for r in got] == ["a.example.com", "b.org", None, None, None]
+
+
+def test_next_row_without_ids(spark):
+    """All ids null, one id for nearly all rows, equal rows: every row has a next one, in a circle."""
+    for rows in ([(None, f"t{i}") for i in range(60)], [(7, f"t{i}") for i in range(50)] + [(3, "a"), (9, "b")], [(1, "same")] * 40 + [(2, "x")], [(4, "only")], [(5, None), (5, ""), (None, None)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        for ranges in (1, 6):
+            got = fingerprint.with_next(docs, "doc_id", ["text"], ranges).collect()
+            assert len(got) == len(rows) and all(r["__next"] is not None for r in got)
+            assert Counter(r["__next"].text for r in got) == Counter(t for _, t in rows)
+
+
+def test_fingerprint_null_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "g h i j k l m"), (None, None)], "doc_id long, text string").withColumn("print", F.lit("clash"))
+    got = run(spark, monkeypatch, fingerprint, fingerprint.op3_fingerprint, documents=docs).collect()
+    assert len(got) == 3 and all(r.edited_sha256 for r in got) and sorted(r.n_chars for r in got) == [0, 11, 13]
+    assert run(spark, monkeypatch, fingerprint, fingerprint.op3_fingerprint, documents=docs.limit(0)).count() == 0
+
+
+def test_long_texts(spark, monkeypatch):
+    """A text of ten million characters goes through the native operators."""
+    long = "one two three four " * 530_000
+    docs = spark.createDataFrame([(1, long), (2, "short text")], "doc_id long, text string")
+    got = {r.doc_id: r for r in run(spark, monkeypatch, fingerprint, fingerprint.op3_fingerprint, documents=docs).collect()}
+    assert got[1].n_chars == len(long) and len(got[1].fingerprint) == 16 * 4
+    judged = {r.doc_id: r for r in quality.quality_rules(docs, [0.0] * quality.BUCKETS).collect()}
+    assert judged[1].n_words == 4 * 530_000 and judged[1].base_failed and judged[1].n_repeat_words == 4 * 530_000
+    lines = line_dedup.line_dedup(spark.createDataFrame([(k, "h", ("menu\n" + long.replace(" three", "\n")) if k == 0 else f"menu\nown {k}") for k in range(3)], "page_id long, host string, text string"), "host", "text").orderBy("page_id").collect()
+    assert lines[0].n_lines == 530_002 and lines[0].n_dropped == 1 and lines[1].text == "own 1"

@@ -8,25 +8,31 @@ sketch is the whole set and its estimates are exact.
 
 A null text counts as an empty one, with an empty sketch; two empty sketches have the
 likeness 1, an empty and another one 0. Repeated rows are sketched each by itself; an
-empty table gives an empty table.
+empty table gives an empty table. Rows are in the order of descending ids, null ones last,
+then of the first PREFIX characters of the text, then of its hash, so that repeated and
+null ids have a next document too; equal rows follow each other. Only the id and text
+columns are read by the query, so other columns can't clash. A text is sketched within its
+row, so a very long one must fit a task.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from ..operators.ordering import rank
+from .common import SHARE, let, share_of, table
 from .quality import split_words
 
 K, SHINGLE = 128, 5
 LONGS = "array<long>"
-#: Bytes of text, as read, that one task orders by id.
-RANGE_BYTES = 12 << 20
-#: Ranges at most, as their bounds are held by the driver and every task; beyond that many they grow.
-MAX_RANGES = 4096
+#: Bytes of text that one task orders, of up to UNIT bytes in all; beyond, ranges grow with the cube root of the input, as the driver and every task hold their bounds.
+RANGE_BYTES, UNIT = 12 << 20, 1 << 30
+#: Sampled rows for each bound; characters of a text that order rows of one id.
+SAMPLES, PREFIX = 16, 64
 
 
 def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
@@ -46,11 +52,6 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def merge_all(sketches: Column, k: int = K) -> Column:
-    """An aggregate: the sketch of a group. Each task keeps a bounded set, as partial sums do."""
-    return F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(sketches)))), 1, k)
-
-
 def merged(df: DataFrame, keys: list[str], sketch_col: str, k: int = K, parts: int = 64) -> DataFrame:
     """keys, sketch: one sketch a group, by way of ``parts`` salted groups so that a hot one is not gathered at once."""
     salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
@@ -82,55 +83,47 @@ def to_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def _range_of(value: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are not over the value: first among every m-th bound, then within m of them."""
-    if not bounds:
-        return F.lit(0)
-    m = math.isqrt(len(bounds) - 1) + 1
-    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast(LONGS)
-    count = lambda xs: F.size(F.filter(xs, lambda b: b <= value))
-    coarse = count(numbers(bounds[::m]))
-    fine = let(coarse, lambda c: F.when(c == 0, 0).otherwise((c - 1) * m + count(F.slice(numbers(bounds), F.greatest(c - 1, F.lit(0)) * m + 1, F.lit(m)))))
-    return F.coalesce(fine, F.lit(0))
+ORDER = "struct<n:int,i:long,p:string,h:long>"
+
+
+def _order(id_: Column, value: Column) -> Column:
+    """What ascends with the order of the rows."""
+    return F.struct(id_.isNull().cast("int").alias("n"), F.bitwise_not(F.coalesce(id_.cast("long"), F.lit(0))).alias("i"), F.coalesce(F.substring(value, 1, PREFIX), F.lit("")).alias("p"), F.xxhash64(value).alias("h"))
 
 
 def with_next(docs: DataFrame, id_col: str, value_cols: list[str], ranges: int, derive=None) -> DataFrame:
-    """``docs`` with __next, a struct of the ``value_cols`` of the next row by descending id; after the last comes the first.
+    """``docs`` with __next, a struct of the ``value_cols`` of the next row; after the last comes the first.
 
-    Ids are cut into ranges at approximate quantiles; each range is ordered by itself in
-    one shuffle of the rows. The first row of every range is also sent to the range above
-    as its end, so no window spans the table. Rows with one id follow each other by value.
+    Rows are cut into ranges of their order that begin at sampled rows; each range is
+    ordered by itself in one shuffle of the rows. The row that begins a range is also sent
+    to the range before as its end, so no window spans the table, and no range is empty.
     ``derive`` adds columns after the shuffle, so that they aren't shuffled themselves.
     """
-    ids = docs.select(F.col(id_col).alias("i"))
-    bounds = []
-    if ranges > 1:
-        found = ids.agg(F.percentile_approx("i", F.array(*[F.lit(x / ranges) for x in range(1, ranges)]), 100 * ranges).alias("b")).head()
-        bounds = sorted(set(found.b or []))
-    spot = _range_of(F.col(id_col), bounds)
-    rows = docs.withColumn("__range", F.when(F.col(id_col).isNull(), 0).otherwise(spot))
-    tops = written(rows.groupBy("__range").agg(F.max(id_col).alias("top")), "range-tops")
-    found = {x["__range"]: x.top for x in tops.collect()}  # one number a range
-    order = sorted(found)
-    above = {found[r]: order[(at + 1) % len(order)] for at, r in enumerate(order)}
-    # ids are unique to a range, so a range's top id tells where its copy goes
-    pairs = F.create_map(*[F.lit(x) for p in above.items() if p[0] is not None for x in p]) if any(k is not None for k in above) else None
-    own = F.struct(F.col("__range").alias("r"), F.lit(False).alias("end"))
-    if pairs is None:
-        targets = F.array(own)
-    else:
-        copied = F.element_at(pairs, F.col(id_col))
-        targets = F.when(copied.isNotNull(), F.array(own, F.struct(copied.alias("r"), F.lit(True).alias("end")))).otherwise(F.array(own))
-    dealt = rows.withColumn("__to", F.explode(targets)).withColumn("__range", F.col("__to.r")).withColumn("__end", F.col("__to.end")).drop("__to").repartition(max(1, ranges), "__range")
+    order = _order(F.col(id_col), F.col(value_cols[0]))
+    own = docs.select(order.alias("o"))
+    least = own.agg(F.min("o").alias("o")).select("o.*").head()
+    starts = [tuple(least)]
+    if ranges > 1 and least.n is not None:
+        sample = own.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SHARE)) < share_of(SAMPLES * ranges, docs.count())).select("o.*").collect()
+        ranked = sorted(map(tuple, sample))
+        starts = sorted({*starts, *(ranked[k * len(ranked) // ranges] for k in range(1, ranges) if ranked)})
+    # a literal that is folded, as are all expressions over it
+    steps = F.from_json(F.lit(json.dumps([dict(zip("niph", x)) for x in starts])), f"array<{ORDER}>")
+    spot = F.greatest(F.lit(0), rank(F.col("__o"), steps, len(starts), inclusive=True) - 1)
+    ranged = docs.withColumn("__o", order).withColumn("__range", spot)
+    begins = F.get(steps, F.col("__range")) == F.col("__o")
+    both = F.struct(F.col("__range").alias("r"), F.lit(False).alias("end"))
+    before = F.struct(F.pmod(F.col("__range") - 1, F.lit(len(starts))).alias("r"), F.lit(True).alias("end"))
+    dealt = ranged.withColumn("__to", F.explode(F.when(begins, F.array(both, before)).otherwise(F.array(both)))).withColumn("__range", F.col("__to.r")).withColumn("__end", F.col("__to.end")).drop("__to", "__o").repartition(len(starts), "__range")
     dealt = derive(dealt) if derive else dealt
-    inside = Window.partitionBy("__range").orderBy("__end", F.col(id_col).desc_nulls_last(), *value_cols[:1])
+    inside = Window.partitionBy("__range").orderBy("__end", order)
     return dealt.withColumn("__next", F.lead(F.struct(*value_cols)).over(inside)).where(~F.col("__end")).drop("__range", "__end")
 
 
 def spread(docs: DataFrame, text_col: str = "text", size: int = RANGE_BYTES) -> int:
-    """How many ranges hold about ``size`` bytes of text each."""
+    """How many ranges the texts are cut into."""
     total = docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0
-    return min(MAX_RANGES, max(1, math.ceil(total / size)))
+    return max(1, math.ceil(total / (size * max(1.0, total / UNIT) ** (1 / 3))))
 
 
 def edited(text: Column, following: Column) -> Column:

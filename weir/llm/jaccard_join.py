@@ -13,15 +13,24 @@ Two documents link if |A and B| / |A or B| >= ``percent`` / 100.
    documents share would make them quadratic.)
    Lists are dealt to buckets by ranges of their keys, as compressed blocks; a batch of
    documents tells a bucket each key once, so that no list is long for being frequent.
-3. Sets on one list are tied to the least of them. What hangs together is screened by
-   parities of its tokens' hashes, which bound from below in how many tokens two sets
-   differ; what still hangs together is compared by scanning the inverted lists of its own
-   tokens. Both go in blocks where it is large. Every two sets that share a list meet in
-   both, so no link is lost; pairs are never emitted, but only ties to the least document
-   that a comparison reached.
+   Batches and buckets both grow with the square root of the number of keys, so that the
+   number of blocks stays in proportion to it.
+3. Sets on one list are tied to the least of them, so there are at most as many ties as
+   keys. Of what hangs together in more than a block, all documents are first compared
+   with a few pivots, of which every block gets a copy, and then the rest with pivots of
+   the largest cluster found, as long as that attaches many; documents of that cluster
+   needn't be compared with each other. What hangs together is screened by parities of its
+   tokens' hashes, which bound from below in how many tokens two sets differ; what still
+   hangs together is compared by scanning the inverted lists of its own tokens. Both go in
+   blocks where it is large. Every two sets that share a list meet in both, unless pivots
+   have connected them, so no link is lost; pairs are never emitted, but only ties to the
+   least document that a comparison reached.
 
 Rows that repeat an id count as one document with several texts. A null id is linked with
-nothing, and its component is null. A null text is an empty one.
+nothing, and its component is null. A null text is an empty one. An empty table gives an
+empty table. Of equal candidates for a component's name the least id wins. Very long texts
+are worked on whole, a row at a time. Only the id and text columns are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -52,6 +61,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
 SCREEN_DOCS, PACK_DOCS = 16384, 1024
 #: Keys of a bucket, so few that a tie is seldom found in as many buckets as there are; documents whose keys become one block a bucket.
 BUCKET_KEYS, KEY_ROWS = 1 << 17, 1024
+#: Keys from which on batches and buckets grow; pivots of a group, about; the share of the rest that a round must attach to be followed by another.
+GROW_KEYS, PIVOTS, ATTACHED = 1 << 26, 32, 0.2
 ROWS = 256
 
 
@@ -196,19 +207,28 @@ def grouped(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[starts], low, np.unique(np.stack([ids, own])[:, ids != own], axis=1)
 
 
-def _tell_keys(buckets: int):
+def _tell_keys(buckets: int, rows: int):
     """Blocks of a batch's keys for the buckets: each key once, with its least id; ties within the batch go along."""
 
     def run(batches):
+        ids, keys, sizes, n = [], [], [], 0
+
+        def block():
+            key, low, ties = grouped(np.concatenate(keys).view(np.uint64), np.repeat(np.concatenate(ids), np.concatenate(sizes)))
+            made = [(k, pack(key[a:b], low[a:b], *(ties if i == 0 else ties[:, :0]))) for i, (k, a, b) in enumerate(cuts(key, buckets))]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), pa.array([r[1] for r in made], pa.binary())], names=["bucket", "block"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, KEY_ROWS):
-                part = batch.slice(at, KEY_ROWS)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 lists = part.column(1)
-                keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                key, low, ties = grouped(keys, np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())))
-                rows = [(k, pack(key[a:b], low[a:b], *(ties if i == 0 else ties[:, :0]))) for i, (k, a, b) in enumerate(cuts(key, buckets))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block"])
+                ids.append(part.column(0).to_numpy(zero_copy_only=False)), keys.append(lists.flatten().to_numpy(zero_copy_only=False)), sizes.append(np.diff(lists.offsets.to_numpy()))
+                n += part.num_rows
+                if n >= rows:
+                    yield block()
+                    ids, keys, sizes, n = [], [], [], 0
+        if n:
+            yield block()
 
     return run
 
@@ -305,15 +325,22 @@ def _screen(percent: int):
 
 
 def _dealt(members: DataFrame, most_docs: int, most_size: int | None) -> DataFrame:
-    """``members`` (id, component, size, ...) by pack, group, b1 and b2: small components many to a pack, large ones block by block."""
-    blocks = F.ceil(F.count(F.lit(1)) / most_docs)
-    measures = written(members.groupBy("component").agg((F.greatest(blocks, F.ceil(F.sum("size") / most_size)) if most_size else blocks).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), "measures")
+    """``members`` (id, component, size, major, ...) by pack, group, b1 and b2: small components many to a pack, large ones block by block.
+
+    Blocks of a component's major documents come after those of the others, and don't meet each other.
+    """
+    parts = lambda own: F.ceil(F.greatest(F.count(F.when(own, 1)) / most_docs, *([F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)) / most_size] if most_size else [F.lit(0.0)]))).cast("int")
+    measures = written(members.groupBy("component").agg(parts(F.lit(True)).alias("blocks"), parts(~F.col("major")).alias("others"), parts(F.col("major")).alias("majors"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), "measures")
     docs, total = measures.where("blocks = 1").agg(F.sum("n"), F.sum("total")).head()
     packs = max(1, (docs or 0) // PACK_DOCS, (total or 0) // (most_size // 2) if most_size else 0)
-    small, block = F.col("blocks") == 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spots = members.join(measures.select("component", "blocks"), "component")
-    spots = spots.select("*", F.when(small, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(-1).alias("pack"), F.when(small, 0).otherwise(F.col("component")).alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return spots.select(*[c for c in members.columns if c != "component"], "pack", "group", F.least(block, "other").alias("b1"), F.greatest(block, "other").alias("b2"))
+    spots = members.join(measures.select("component", "blocks", "others", "majors"), "component")
+    small = F.col("blocks") == 1
+    block = F.when(small, 0).when(F.col("major"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("majors")).cast("int")).otherwise(F.pmod(F.xxhash64("id"), F.col("others")).cast("int"))
+    none = F.array().cast("array<int>")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
+    meets = F.when(small, F.array(F.lit(0))).when(F.col("major"), upto(F.col("others"))).otherwise(upto(F.col("others") + F.col("majors")))
+    spots = spots.select("*", F.when(small, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(-1).alias("pack"), F.when(small, 0).otherwise(F.col("component")).alias("group"), block.alias("block"), F.explode(meets).alias("other"))
+    return spots.select(*[c for c in members.columns if c not in ("component", "major")], "pack", "group", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
 
 
 def _hanging(ties: DataFrame) -> DataFrame:
@@ -322,26 +349,90 @@ def _hanging(ties: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("id"), "component").unionByName(found.select(F.col("component").alias("id"), "component").distinct())
 
 
+def _meet_pivots(n: int, percent: int):
+    """Ties of documents to the pivots that they link with."""
+
+    def run(table):
+        hasher, rows = Hasher(), list(zip(table.column("id").to_pylist(), table.column("text").to_pylist(), table.column("pivot").to_pylist()))
+        pivots = [(i, hasher.shingles(t, n)) for i, t, pivot in rows if pivot]
+        tokens = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for _, x in pivots)]))
+        has = np.zeros((len(tokens), len(pivots)), np.int32)
+        for k, (_, x) in enumerate(pivots):
+            has[np.searchsorted(tokens, x), k] = 1
+        sizes, found = np.array([len(x) for _, x in pivots], np.int64), []
+        for i, t, pivot in rows:
+            if pivot or not len(tokens):
+                continue
+            own = hasher.shingles(t, n)
+            at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+            shared = has[at[tokens[at] == own]].sum(0)
+            found += [(max(i, pivots[k][0]), min(i, pivots[k][0])) for k in np.flatnonzero(100 * shared >= percent * (len(own) + sizes - shared)).tolist() if pivots[k][0] != i]
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return run
+
+
+def _with_majors(hanging: DataFrame, texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``hanging`` (id, component) with major, and the ties found: the documents of a large component's largest cluster are connected by links through pivots."""
+    counts = written(hanging.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_DOCS), "large")
+    left = counts.agg(F.sum("n")).head()[0]
+    hanging = hanging.withColumn("major", F.lit(False))
+    if not left:
+        return hanging, None
+    state = written(hanging.join(counts.select("component"), "component", "left_semi"), "state")
+    ties, turn = None, 0
+    while True:
+        # the first pivots are any documents, later ones those of the largest cluster
+        some = state.where("major") if turn else state
+        counted = some.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        pivots = some.join(counted, "component").where(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < PIVOTS).select("id", "component")
+        rest = state.where("NOT major")
+        blocks = rest.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
+        own = rest.join(blocks, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("pivot"))
+        copied = pivots.join(blocks, "component").select("id", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("pivot"))
+        spots = written(own.unionByName(copied), "pivots")
+        new = written(texts.join(spots.hint("merge"), "id").groupBy("component", "block").applyInArrow(_meet_pivots(n, percent), "u long, v long"), "met")
+        ties = new if ties is None else written(ties.unionByName(new), "all-met")
+        clusters = written(connected_components(ties).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
+        placed = state.join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+        largest = placed.groupBy("component", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"))
+        state = written(placed.join(largest, "component").select("id", "component", (F.col("cluster") == F.col("largest")).alias("major")), "state")
+        before, left, turn = left, state.where("NOT major").count(), turn + 1
+        if not left or before - left < ATTACHED * before:
+            break
+    majors = state.where("major").select("id", F.lit(True).alias("__major"))
+    return hanging.join(majors, "id", "left").select("id", "component", F.coalesce("__major", F.lit(False)).alias("major")), ties
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """id, size (of the set), rep (the least id with the same set), component (the least id that links reach)."""
     scheme = Scheme(percent)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = written(described(docs, id_col, text_col, n, scheme), "sets")
     whole, group = ["whole1", "whole2", "size"], ["pack", "group", "b1", "b2"]
     filled = sets.where("size > 0 AND id IS NOT NULL")
     reps = written(filled.groupBy(*whole).agg(F.min("id").alias("rep"), F.first("marks").alias("marks")), "reps")  # equal sets have equal marks
-    told = written(sets.select("id", *whole).join(reps.select("rep", *whole), whole, "left").withColumn("rep", F.when(F.col("size") > 0, F.coalesce("rep", "id")).otherwise(F.col("id"))).select("id", "size", "rep"), "told")
-    buckets = max(1, (filled.agg(F.sum(F.size("keys"))).head()[0] or 0) // BUCKET_KEYS)
-    ties = written(filled.select("id", "keys").mapInArrow(_tell_keys(buckets), "bucket int, block binary").groupBy("bucket").applyInArrow(_tie, "u long, v long"), "ties").distinct()
+    told = written(sets.select("id", *whole).join(reps.select("rep", *whole), whole, "left").withColumn("rep", F.when((F.col("size") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id"))).select("id", "rep", *whole), "told")
+    # ids with several sets stand for themselves, and are tied to those that have one of these sets first
+    several = written(told.where("size > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*whole)).alias("a"), F.max(F.struct(*whole)).alias("b")).where("a <> b").select("id"), "several")
+    sure = told.join(several, "id", "left_semi").where("size > 0 AND id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    total = filled.agg(F.sum(F.size("keys"))).head()[0] or 0
+    growth = math.sqrt(max(1.0, total / GROW_KEYS))
+    buckets = max(1, int(total / (BUCKET_KEYS * growth)))
+    ties = written(filled.select("id", "keys").mapInArrow(_tell_keys(buckets, int(KEY_ROWS * growth)), "bucket int, block binary").groupBy("bucket").applyInArrow(_tie, "u long, v long"), "ties").distinct()
     # an id whose set an earlier one has stands for nothing of its own: its ties are that one's
-    copies = told.where("id <> rep").select("id", F.col("rep").alias("r")).distinct()
+    copies = told.where("size > 0 AND id <> rep").join(several, "id", "left_anti").select("id", F.col("rep").alias("r")).distinct()
     first = ties.join(copies.select(F.col("id").alias("u")), "u", "left_anti").join(copies.withColumnRenamed("id", "v"), "v", "left").select("u", F.coalesce("r", "v").alias("v"))
-    met = _hanging(first).join(reps.select(F.col("rep").alias("id"), "size", "marks").hint("merge"), "id")
+    nodes = reps.select(F.col("rep").alias("id"), "size", "marks").unionByName(filled.join(several, "id", "left_semi").select("id", "size", "marks")).distinct()
+    hanging, linked_by_pivots = _with_majors(_hanging(first), texts, n, percent)
+    met = hanging.join(nodes.hint("merge"), "id")
     screened = _dealt(met, SCREEN_DOCS, None).groupBy(*group).applyInArrow(_screen(percent), "u long, v long")
-    sized = _hanging(screened).join(reps.groupBy(F.col("rep").alias("id")).agg(F.sum("size").alias("size")), "id")
+    sized = _hanging(screened).join(nodes.groupBy("id").agg(F.sum("size").alias("size")), "id").join(hanging.select("id", "major"), "id")
     spots = written(_dealt(sized, BLOCK_DOCS, BLOCK_SHINGLES), "spots")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    compared = texts.join(spots.drop("size").hint("merge"), "id").groupBy(*group).applyInArrow(_compare(n, percent), "u long, v long")
-    found = written(connected_components(compared), "components").select(F.col("node").alias("rep"), "component")
+    compared = texts.join(spots.drop("size").hint("merge"), "id").groupBy(*group).applyInArrow(_compare(n, percent), "u long, v long").unionByName(sure)
+    links = compared if linked_by_pivots is None else compared.unionByName(linked_by_pivots)
+    found = written(connected_components(links), "components").select(F.col("node").alias("rep"), "component")
+    # a repeated id takes the component of the id, which all its sets are tied to
     return told.join(found, "rep", "left").select("id", "size", "rep", F.coalesce("component", "rep").alias("component"))
 
 

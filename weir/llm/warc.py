@@ -4,11 +4,14 @@ Records with equal payload digests form a group; the one with the largest id is
 `response`, the others are `revisit` records that name it. A null payload counts as an
 empty one. Rows that repeat the largest id are all responses; a row with a null id
 revisits the largest id of its group, and is a response where there is none. A null URL
-is written as an empty one. An empty table gives archives without records.
+is written as an empty one. An empty table gives archives without records. Other columns
+than those named aren't read, so they can't clash.
 
 Each record is one row of the text writer and ends with the writer's line separator,
 CRLF CRLF, so that a retried task replaces its whole file and no record is lost or twice
-there. Reading goes by Content-Length, so that payloads may hold anything.
+there. Reading goes by Content-Length, so that payloads may hold anything. Records are
+dealt evenly to files of about FILE_BYTES, which a reading task holds one at a time; a
+very long payload makes its file as much longer.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: The digits of base 32 as conv() writes them and as RFC 4648 does.
 CONV_DIGITS, RFC_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_A_FILE = 20_000
+#: Bytes of a file, and of a record beside its payload, about.
+FILE_BYTES, HEADER_BYTES = 32 << 20, 640
 READ_SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 ROWS = 512
 
@@ -38,24 +43,36 @@ def sha1_base32(value: Column) -> Column:
     return F.translate(F.concat(*parts), CONV_DIGITS, RFC_DIGITS)
 
 
-def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Id, URL, payload, digest, length, record type and the response a revisit names.
-
-    Headers alone are shuffled to find each digest's response; the table of digests with
-    several records is written out, so that the join's sides are plain shuffles and
-    Spark can split the one of a digest that very many records share.
-    """
+def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    records = pages.select(
+    return pages.select(
         F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(url_col, F.lit("")), r"[\x00-\x20\x7F]", "").alias("url"), payload.alias("payload"), sha1_base32(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")
     )
-    headers = records.where(F.col("bytes") >= min_bytes).select("id", "url", "digest")
-    origins = written(
-        headers.groupBy("digest").agg(F.max("id").alias("origin"), F.max_by("url", "id").alias("origin_url"), F.count(F.lit(1)).alias("n")).where("n > 1 AND origin IS NOT NULL").drop("n"), "warc-origins"
-    )
-    joined = records.join(origins, "digest", "left")
-    revisit = F.col("origin").isNotNull() & (F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("origin"))
-    return joined.select("id", "url", "payload", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("type"), F.when(revisit, F.col("origin")).alias("origin"), F.when(revisit, F.col("origin_url")).alias("origin_url"))
+
+
+def revisits_of(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """id, digest, origin, origin_url of the records that are revisits, from headers (id, url, digest, bytes) alone."""
+    counted = headers.where(F.col("bytes") >= min_bytes)
+    origins = counted.groupBy("digest").agg(F.max("id").alias("origin"), F.max_by("url", "id").alias("origin_url"), F.count(F.lit(1)).alias("n")).where("n > 1 AND origin IS NOT NULL").drop("n")
+    joined = counted.select("id", "digest").join(written(origins, "warc-origins"), "digest").where(~F.col("id").eqNullSafe(F.col("origin")))
+    return joined.groupBy("id", "digest").agg(F.first("origin").alias("origin"), F.first("origin_url").alias("origin_url"))
+
+
+def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Id, URL, payload, digest, length, record type and the response a revisit names, dealt to as many tasks as there are files to be written.
+
+    Headers alone are written and shuffled by digest to find each digest's response; what
+    is found comes back to the payloads by id and digest, of which no value is frequent,
+    and these are moved once to the tasks that write them.
+    """
+    records = _records(pages, id_col, url_col, payload_col)
+    headers = written(records.select("id", "url", "digest", "bytes"), "warc-headers")
+    revisits = written(revisits_of(headers, min_bytes), "warc-revisits").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "origin", "origin_url")
+    total = headers.agg(F.sum(F.col("bytes") + HEADER_BYTES)).head()[0] or 0
+    joined = records.join(revisits, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    revisit = F.col("__digest").isNotNull()
+    found = joined.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("type"), "origin", "origin_url")
+    return found.repartition(max(1, -(-total // file_bytes)), "id", "digest")
 
 
 def record_id(value: Column) -> Column:
