@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.syntax import Call, Literal, Node, SqlError
 
@@ -33,8 +34,8 @@ class State:
     """What a builder needs: the rows, partition keys, order, and whether the FILTER holds.
 
     Without partition keys, rows that are cut into ranges of the order (a column __range)
-    are worked on range by range: one value a range is carried over, by way of a table
-    with as many rows as there are ranges.
+    are worked on range by range: one value a range (and value of ``more``) is carried
+    over, by way of a table with as many rows as there are of these.
     """
 
     df: DataFrame
@@ -42,19 +43,22 @@ class State:
     seq: Column
     accept: Column
 
-    def over(self, kind: str, value: Column, *more: Column, before: bool = False) -> Column:
-        """A running aggregate over the rows up to this one, or before it."""
+    @property
+    def ranged(self) -> bool:
+        return not self.by and RANGE in self.df.columns
+
+    def over(self, kind: str, value: Column, *more: str, before: bool = False) -> Column:
+        """A running aggregate over the rows up to this one, or before it, that are alike in the columns ``more``."""
         aggregate, merge, join = RUNNING[kind]
-        ranged = not self.by and not more and RANGE in self.df.columns
-        w = Window.partitionBy(*([F.col(RANGE)] if ranged else self.by), *more).orderBy(self.seq)
+        w = Window.partitionBy(*([F.col(RANGE)] if self.ranged else self.by), *more).orderBy(self.seq)
         inside = aggregate(value).over(w.rowsBetween(Window.unboundedPreceding, -1 if before else 0))
-        if not ranged:
+        if not self.ranged:
             return inside
-        name = f"__carry{len(self.df.columns)}"
-        parts = self.df.where(value.isNotNull()).groupBy(RANGE).agg((F.max_by(value, self.seq) if kind == "last" else aggregate(value)).alias("p"))
-        spots = self.df.select(RANGE).distinct().join(parts, RANGE, "left")
-        carry = spots.select(RANGE, merge("p").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)).alias(name))
-        self.df = self.df.join(F.broadcast(carry), RANGE)  # one row a range
+        name, keys = f"__carry{len(self.df.columns)}", [RANGE, *more]
+        parts = self.df.where(value.isNotNull()).groupBy(*keys).agg((F.max_by(value, self.seq) if kind == "last" else aggregate(value)).alias("p"))
+        spots = self.df.select(*keys).distinct().join(parts, keys, "left")
+        carry = spots.select(*keys, merge("p").over(Window.partitionBy(*more).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+        self.df = self.df.join(carry, keys)
         return join(inside, F.col(name))
 
 
@@ -101,7 +105,7 @@ def _had_changed(call: Call, args: list[Column], st: State) -> Column:
     return found
 
 
-def _running(kind: str, st: State, x: Column, *more: Column) -> Column:
+def _running(kind: str, st: State, x: Column, *more: str) -> Column:
     if kind == "avg":
         return st.over("sum", x, *more) / F.nullif(st.over("count", x, *more), F.lit(0))
     return st.over(kind, x, *more)
@@ -137,10 +141,11 @@ class _Lived:
         st = self.st
         life = F.coalesce(st.over("sum", self.reset.cast("int"), before=True), F.lit(0))
         st.df = st.df.withColumn(f"{name}_life", life)
-        life = F.col(f"{name}_life")
-        st.df = st.df.withColumn(f"{name}_on", st.over("max", self.begin.cast("int"), life) == 1)
+        on = st.over("max", self.begin.cast("int"), f"{name}_life") == 1
+        st.df = st.df.withColumn(f"{name}_on", on)
         value = F.when(F.col(f"{name}_on") & st.accept, self.x)
-        return st.df.withColumn(name, F.coalesce(_running(self.kind, st, value, life), F.lit(self.zero))).drop(f"{name}_life", f"{name}_on")
+        out = F.coalesce(_running(self.kind, st, value, f"{name}_life"), F.lit(self.zero))
+        return st.df.withColumn(name, out).drop(f"{name}_life", f"{name}_on")
 
 
 @dataclass
@@ -154,11 +159,19 @@ class _Back:
     def add(self, name: str) -> DataFrame:
         st = self.st
         st.df = st.df.withColumn(f"{name}_kept", self.kept)
-        number = F.coalesce(st.over("count", F.col(f"{name}_kept"), before=True), F.lit(0))
+        number = F.coalesce(st.over("count", F.col(f"{name}_kept"), before=True), F.lit(0)).cast("long")
         df = st.df.withColumn(f"{name}_n", number)
         # accepted rows have numbers 0, 1, ...; a row with k before it wants the one numbered k - n
-        numbered = Window.partitionBy(*st.by).orderBy(f"{name}_n").rangeBetween(-self.n, -self.n)
-        return df.withColumn(name, F.first(f"{name}_kept", ignorenulls=True).over(numbered)["x"]).drop(f"{name}_kept", f"{name}_n")
+        if st.ranged:  # every range gets a copy of the n accepted rows before it
+            first = df.groupBy(RANGE).agg(F.min(f"{name}_n").alias("first"))
+            wanted = first.select(RANGE, F.explode(F.sequence(F.col("first") - self.n, F.col("first") - 1)).alias(f"{name}_n"))
+            accepted = df.where(F.col(f"{name}_kept").isNotNull()).select(f"{name}_n", f"{name}_kept")
+            guests = accepted.join(wanted, f"{name}_n").withColumn(f"{name}_guest", F.lit(True))
+            df = df.withColumn(f"{name}_guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
+        keys = [F.col(RANGE)] if st.ranged else st.by
+        numbered = Window.partitionBy(*keys).orderBy(f"{name}_n").rangeBetween(-self.n, -self.n)
+        df = df.withColumn(name, F.first(f"{name}_kept", ignorenulls=True).over(numbered)["x"])
+        return (df.where(~F.col(f"{name}_guest")).drop(f"{name}_guest") if st.ranged else df).drop(f"{name}_kept", f"{name}_n")
 
 
 #: name -> (least and most arguments, builder(call, argument columns, state))
@@ -175,6 +188,59 @@ STATEFUL: dict[str, tuple[int, int | None, Callable]] = {
 }
 
 
+@dataclass(frozen=True)
+class Fold:
+    """A user's function with state: its type, what state starts as, and a step."""
+
+    type: T.DataType
+    start: Callable[[], object]
+    step: Callable[[object, bool, list], tuple[object, object]]
+
+
+#: Users' functions by name, for batches and streams alike.
+FOLDS: dict[str, Fold] = {}
+
+
+@dataclass
+class _Folded:
+    """Rows pass the step in order, key by key; without keys all in one task, as a step may do anything."""
+
+    fold: Fold
+    args: list[Column]
+    st: State
+
+    def add(self, name: str) -> DataFrame:
+        import pandas as pd
+
+        st, fold, n = self.st, self.fold, len(self.args)
+        extra = [c.alias(f"__x{i}") for i, c in enumerate(self.args)]
+        df = st.df.select("*", *extra, st.accept.alias("__accept"), F.struct(*st.by, F.lit(0)).alias("__key"), F.to_json(F.struct(*st.by, F.lit(0))).alias("__text"))
+        columns, schema = st.df.columns, T.StructType([*st.df.schema.fields, T.StructField(name, fold.type)])
+
+        def run(batches):
+            key, state = None, None
+            for rows in batches:
+                made = []
+                for record in zip(rows["__text"], rows["__accept"], *(rows[f"__x{i}"] for i in range(n))):
+                    if record[0] != key:
+                        key, state = record[0], fold.start()
+                    state, value = fold.step(state, bool(record[1]), [None if x is None or x != x else x for x in record[2:]])
+                    made.append(value)
+                out = rows[columns].copy()
+                out[name] = pd.Series(made, index=rows.index, dtype=object)
+                yield out
+
+        dealt = df.repartition("__text") if st.by else df.coalesce(1)
+        return dealt.sortWithinPartitions("__text", st.seq).drop("__key").mapInPandas(run, schema)
+
+
+def register_fold(name: str, least: int, most: int | None, returns: str, start: Callable[[], object], step: Callable[[object, bool, list], tuple[object, object]]) -> None:
+    """Adds a function with state as what it starts from and a step, for batches and streams."""
+    fold = Fold(T._parse_datatype_string(returns) if isinstance(returns, str) else returns, start, step)
+    register_stateful(name, least, most, lambda call, args, st: _Folded(fold, args, st))
+    FOLDS[name.lower()] = fold
+
+
 def register_stateful(name: str, least: int, most: int | None, build: Callable) -> None:
     """Adds a function with state; a taken name is refused."""
     if name.lower() in STATEFUL:
@@ -189,5 +255,5 @@ def add_stateful(df: DataFrame, name: str, call: Call, args: list[Column], by: l
         raise SqlError(f"{call.name} can't take {len(args)} arguments")
     state = State(df, by, seq, accept)
     made = build(call, args, state)
-    out = made.add(name) if isinstance(made, (_Lived, _Back)) else state.df.withColumn(name, made)
+    out = made.add(name) if isinstance(made, (_Lived, _Back, _Folded)) else state.df.withColumn(name, made)
     return out.drop(*[c for c in out.columns if c.startswith("__carry")])

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ordering import arrival_index
+from .stateful import State
 
 
 def micros(ts: Column) -> Column:
@@ -50,21 +50,29 @@ def state(df: DataFrame, seq: str, open_: Column, emit: Column, by: list[Column]
     A row that only opens leaves the window open, one that only emits leaves it closed, and
     one that does both turns it over; so what a row finds follows from the last row of the
     first two kinds and the number of turning ones since, and no fold is needed. Windows
-    that are still open at the end count if the stream ends gracefully.
+    that are still open at the end count if the stream ends gracefully. Without ``by``,
+    rows with a __range are worked on range by range.
     """
     keys = [k.alias(f"__by{i}") for i, k in enumerate(by)]
-    df = df.select("*", *keys, F.coalesce(open_, F.lit(False)).alias("__o"), F.coalesce(emit, F.lit(False)).alias("__e"))
-    names = [f"__by{i}" for i in range(len(by))]
-    w = W.partitionBy(*names).orderBy(seq)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
+    names, zero = [f"__by{i}" for i in range(len(by))], F.lit(0)
+    st = State(df.select("*", *keys, F.coalesce(open_, F.lit(False)).alias("__o"), F.coalesce(emit, F.lit(False)).alias("__e")), [F.col(n) for n in names], F.col(seq), F.lit(True))
     sets = F.col("__o") != F.col("__e")
-    df = df.withColumn("__last", F.coalesce(F.last(F.when(sets, F.col("__o")), ignorenulls=True).over(before), F.lit(False)))
-    df = df.withColumn("__part", F.coalesce(F.sum(sets.cast("int")).over(before), F.lit(0)))
-    turns = F.coalesce(F.sum((F.col("__o") & F.col("__e")).cast("int")).over(W.partitionBy(*names, "__part").orderBy(seq).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = F.coalesce(st.over("last", F.when(sets, F.col("__o")), before=True), F.lit(False))
+    part = F.coalesce(st.over("sum", sets.cast("int"), before=True), zero)
+    st.df = st.df.withColumn("__last", last).withColumn("__part", part)
     # a row of the first kinds begins the part after it, so turns before it belong to its own part
-    df = df.withColumn("__active", F.col("__last") != (turns % 2 == 1))
-    df = df.withColumn("__start", ~F.col("__active") & F.col("__o")).withColumn("__w", F.sum(F.col("__start").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    df = df.where(F.col("__active") | F.col("__start"))
-    if not graceful:
-        df = df.withColumn("__done", F.max(F.col("__active") & F.col("__e")).over(W.partitionBy(*names, "__w"))).where("__done").drop("__done")
-    return df.drop("__o", "__e", "__last", "__part", "__active", "__start"), [*names, "__w"]
+    turns = F.coalesce(st.over("sum", (F.col("__o") & F.col("__e")).cast("int"), "__part", before=True), zero)
+    st.df = st.df.withColumn("__active", F.col("__last") != (turns % 2 == 1))
+    st.df = st.df.withColumn("__start", ~F.col("__active") & F.col("__o"))
+    number = st.over("sum", F.col("__start").cast("long"))
+    out = st.df.withColumn("__w", number).where(F.col("__active") | F.col("__start"))
+    out = out.drop(*[c for c in out.columns if c.startswith("__carry")])
+    if not graceful:  # the last window of each key goes if its last row leaves it open
+        ends = out.groupBy(*names).agg(F.max("__w").alias("__final"), F.max_by(F.col("__start") | ~F.col("__e"), F.col(seq)).alias("__left"))
+        if names:
+            out = out.join(ends, names)
+        else:
+            final, left = ends.head()
+            out = out.withColumn("__final", F.lit(final)).withColumn("__left", F.lit(left))
+        out = out.where(~F.col("__left") | (F.col("__w") < F.col("__final"))).drop("__final", "__left")
+    return out.drop("__o", "__e", "__last", "__part", "__active", "__start", "__range"), [*names, "__w"]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, ordering, stateful, windows
+from ..scratch import written
 from . import syntax as s
 from .expressions import Scope
 
@@ -24,7 +25,7 @@ class Options:
 
     seq: str = "__seq"
     ts: str = "__ts"
-    hidden: tuple[str, ...] = ("__seq", "__ts")
+    hidden: tuple[str, ...] = ("__seq", "__ts", "__order")
     flush_partial: bool = False
     graceful: bool = True
     range_rows: int = ordering.RANGE_ROWS
@@ -140,10 +141,26 @@ class Query:
 
     def apply(self, df: DataFrame, options: Options = Options()) -> DataFrame:
         """The query's rows."""
-        q, seq = self.select, options.seq
-        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in self.needed() or c in (options.seq, options.ts)])
-        if any(not c.by for c in self.stateful):  # one state for all rows
-            df = ordering.ranged(df, seq, options.range_rows, always=False)
+        if self._is_star(df, options):
+            return df.drop(*[c for c in df.columns if c not in self.names])
+        return self._applied(df, options, False)[0]
+
+    def _is_star(self, df: DataFrame, options: Options) -> bool:
+        """Whether nothing is asked for but the stream's columns as they are."""
+        q = self.select
+        plain = not (q.where or q.window or q.keys or q.having or q.order) and all(isinstance(i.expr, s.Name) and not i.expr.source and i.expr.column == n for i, n in zip(q.items, self.names))
+        return plain and self.names == [c for c in df.columns if c in set(self.names)]
+
+    def ordered(self, df: DataFrame, options: Options = Options()) -> tuple[DataFrame, list[Column]]:
+        """The query's rows with hidden columns, and the order in which they arrive at a sink."""
+        return self._applied(df, options, True)
+
+    def _applied(self, df: DataFrame, options: Options, ordered: bool) -> tuple[DataFrame, list[Column]]:
+        q, seq, needed = self.select, options.seq, self.needed()
+        columns = [c for c in df.columns if c in needed or c in (options.seq, options.ts)]
+        df = df if len(columns) == len(df.columns) else df.select(*[f"`{c}`" for c in columns])
+        if any(not c.by for c in self.stateful) or q.window and q.window.kind == "state" and not q.window.by:  # one state for all rows
+            df = written(ordering.ranged(df, seq, options.range_rows), "ranged")
         scope = self._scope(df)
         for call in self.stateful:
             scope = self._with_state(scope, call, seq)
@@ -153,14 +170,21 @@ class Query:
             df, parts = self._windowed(df, scope, options)
         scope = self._scope(df, scope.values)
         if self.aggregates:
-            scope = self._aggregated(df, scope, parts, seq)
+            scope = self._aggregated(df, scope, parts, seq, ordered)
         if q.having:
             scope = self._scope(scope.frame.where(scope.condition(q.having)), scope.values)
-        df = scope.frame
-        order = [c.asc_nulls_last() if up else c.desc_nulls_last() for c, up in ((scope.compile(e), up) for e, up in q.order)]
-        if order:
-            df = df.orderBy(*[F.col(p) for p in parts], *order)
-        return df.select(*[scope.compile(i.expr).alias(n) for i, n in zip(q.items, self.names)])
+        return self.projected(scope, parts, "__first" if self.aggregates else seq, ordered)
+
+    def projected(self, scope: Scope, parts: list[str], last: str, ordered: bool) -> tuple[DataFrame, list[Column]]:
+        """The query's columns, in its order; or with the columns of the order (of windows, ORDER BY, then arrival) beside them."""
+        q, ways = self.select, lambda c, up: c.asc_nulls_last() if up else c.desc_nulls_last()
+        order = [(scope.compile(e), up) for e, up in q.order]
+        made = [scope.compile(i.expr).alias(n) for i, n in zip(q.items, self.names)]
+        if not ordered:
+            df = scope.frame.orderBy(*[F.col(p) for p in parts], *[ways(c, up) for c, up in order]) if order else scope.frame
+            return df.select(*made), []
+        sort = [*[(F.col(p), True) for p in parts], *order, (F.col(f"`{last}`"), True)]
+        return scope.frame.select(*made, *[c.alias(f"__h{i}") for i, (c, _) in enumerate(sort)]), [ways(F.col(f"__h{i}"), up) for i, (_, up) in enumerate(sort)]
 
     def _scope(self, df: DataFrame, values: dict | None = None) -> Scope:
         scope = Scope(df, self.select.source, self.select.source_alias, [c for c in df.columns if not c.startswith("__")])
@@ -188,7 +212,7 @@ class Query:
             return windows.sliding(df, options.ts, options.seq, *w.numbers)
         return windows.state(df, options.seq, scope.condition(w.open), scope.condition(w.emit), [scope.compile(k) for k in w.by], options.graceful)
 
-    def _aggregated(self, df: DataFrame, scope: Scope, parts: list[str], seq: str) -> Scope:
+    def _aggregated(self, df: DataFrame, scope: Scope, parts: list[str], seq: str, ordered: bool = False) -> Scope:
         """Groups; a column that is neither a key nor in an aggregate has the value of the group's last row."""
         q = self.select
         keys = {k: f"__k{i}" for i, k in enumerate(dict.fromkeys(q.keys))}
@@ -198,7 +222,7 @@ class Query:
             if len(call.args) != 1:
                 raise s.SqlError(f"{call.name} takes one argument")
             x = F.lit(1) if isinstance(call.args[0], s.Star) and call.name == "count" else scope.compile(call.args[0])
-            made.append(aggregates.AGGREGATES[call.name](x, scope.type_of(x), F.col(seq)).alias(f"__a{i}"))
+            made.append(aggregates.AGGREGATES[call.name](x, scope.type_of(x, call.args[0] if not isinstance(call.args[0], s.Star) else None), F.col(seq)).alias(f"__a{i}"))
             values[call] = F.col(f"__a{i}")
         values |= {k: F.col(n) for k, n in keys.items()}
         last = {}
@@ -215,6 +239,7 @@ class Query:
         for e in [*(i.expr for i in q.items), *(e for e, _ in q.order), *([q.having] if q.having else [])]:
             gather(e)
         made += [F.max_by(scope.compile(n), F.col(seq)).alias(c) for n, c in last.items()]
+        made += [F.min(F.col(seq)).alias("__first")] if ordered else []
         grouped = df.groupBy(*parts, *[scope.compile(k).alias(n) for k, n in keys.items()]).agg(*made)
         out = self._scope(grouped)
         out.values = values | {n: F.col(c) for n, c in last.items()}

@@ -5,9 +5,12 @@ A machine is fed rows in arrival order and can be pickled between micro-batches.
 
 from __future__ import annotations
 
+import copy
 from collections import deque
 from dataclasses import dataclass, field
 
+from ..operators import stateful
+
 
 def null(x):
     return x is None or x != x
@@ -84,6 +87,9 @@ class Accumulated:
 
 def machine(name: str, literals: list):
     """The machine of a call, and which of its arguments are fed to it."""
+    if name in stateful.FOLDS:
+        fold = stateful.FOLDS[name]
+        return Folded(fold.step, fold.start()), list(range(len(literals)))
     if name == "lag":
         return Lag(literals[1] if len(literals) > 1 else 1, literals[2] if len(literals) > 2 else True), [0]
     if name == "latest":
@@ -93,6 +99,30 @@ def machine(name: str, literals: list):
     return Accumulated(name, len(literals) == 3), list(range(len(literals)))
 
 
+@dataclass
+class Folded:
+    """A user's function: ``step(state, accepted, arguments)`` gives the new state and the value."""
+
+    function: object
+    state: object
+
+    def step(self, accept: bool, args: list):
+        self.state, out = self.function(self.state, accept, args)
+        return out
+
+
+def saved(own: list) -> list:
+    """What is kept of machines between micro-batches; of a user's function its state alone."""
+    return [m.state if isinstance(m, Folded) else m for m in own]
+
+
+def restored(fresh: list, kept: list | None) -> list:
+    """Machines as they were when they were saved, or new ones."""
+    if kept is None:
+        return copy.deepcopy(fresh)
+    return [Folded(m.function, x) if isinstance(m, Folded) else x for m, x in zip(fresh, kept)]
+
+
 @dataclass
 class CountWindow:
     rows: int
@@ -127,13 +157,23 @@ class StateWindow:
 
 @dataclass
 class SlidingWindow:
-    """Rows of the last ``back`` microseconds for every row; only without a look ahead."""
+    """Rows of the last ``back`` microseconds for every row, and with ``ahead`` of the next ones, once a row beyond them comes; time ascends with arrival."""
 
     back: int
+    ahead: int = 0
     held: deque = field(default_factory=deque)
+    waiting: deque = field(default_factory=deque)
 
     def step_at(self, row: tuple, at: int, seq: int):
+        out = []
+        while self.waiting and self.waiting[0][0] + self.ahead < at:
+            t, number = self.waiting.popleft()
+            out += [(number, r) for u, r in self.held if t - self.back <= u <= t + self.ahead]
         self.held.append((at, row))
-        while self.held and self.held[0][0] < at - self.back:
+        oldest = self.waiting[0][0] if self.waiting else at
+        while self.held and self.held[0][0] < oldest - self.back:
             self.held.popleft()
+        if self.ahead:
+            self.waiting.append((at, seq))
+            return out
         return [(seq, r) for t, r in self.held if t <= at]

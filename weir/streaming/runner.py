@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import stateful
 from ..plans import planner
 from ..plans import syntax as s
 from . import machines
@@ -28,10 +29,10 @@ from . import machines
 
 @dataclass
 class StreamingQueryPlan:
-    """``rows`` is a streaming frame; ``finish`` turns a micro-batch of it into output rows."""
+    """``rows`` is a streaming frame; ``finish`` turns a micro-batch of it into output rows with hidden columns, and their order."""
 
     rows: DataFrame
-    finish: Callable[[DataFrame], DataFrame]
+    finish: Callable[[DataFrame], tuple[DataFrame, list]]
 
 
 def _keyed(df: DataFrame, keys: list, extra: dict) -> tuple[DataFrame, list[str]]:
@@ -46,27 +47,28 @@ def _stateful(query: planner.Query, df: DataFrame, options: planner.Options) ->
     if len({c.by for c in calls}) > 1 or any(x in calls for c in calls for inner in c.children() for x in planner._walk(inner)):
         raise s.SqlError("over a stream, stateful functions need one PARTITION BY and can't be nested")
     scope = query._scope(df)
-    extra, specs, fields = {}, [], []
+    extra, specs, fields, fresh = {}, [], [], []
     for i, call in enumerate(calls):
         literals = [a.value if isinstance(a, s.Literal) else None for a in call.args]
-        _, fed = machines.machine(call.name, literals)
+        made, fed = machines.machine(call.name, literals)
+        fresh.append(made)
         extra[f"__f{i}"] = scope.condition(call.where) if call.where else F.lit(True)
         extra |= {f"__x{i}_{k}": scope.compile(call.args[k]) for k in fed}
         specs.append((call.name, literals, f"__f{i}", [f"__x{i}_{k}" for k in fed]))
-        kind = T.BooleanType() if call.name == "had_changed" else T.LongType() if call.name == "acc_count" else T.DoubleType() if call.name.startswith("acc_") else scope.type_of(scope.compile(call.args[fed[0]]))
+        kind = stateful.FOLDS[call.name].type if call.name in stateful.FOLDS else T.BooleanType() if call.name == "had_changed" else T.LongType() if call.name == "acc_count" else T.DoubleType() if call.name.startswith("acc_") else scope.type_of(scope.compile(call.args[fed[0]]))
         fields.append(T.StructField(f"__s{i}", kind))
     keyed, keys = _keyed(df, [scope.compile(k) for k in calls[0].by], extra)
     columns, seq = df.columns, options.seq
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(key, batches, state: GroupState):
-        own = pickle.loads(state.get[0]) if state.exists else [machines.machine(n, lit)[0] for n, lit, _, _ in specs]
+        own = machines.restored(fresh, pickle.loads(state.get[0]) if state.exists else None)
         rows = pd.concat(list(batches)).sort_values(seq, kind="stable")
         made = [[] for _ in specs]
         for record in rows.to_dict("records"):
             for out, m, (_, _, accept, args) in zip(made, own, specs):
                 out.append(m.step(bool(record[accept]), [None if machines.null(record[a]) else record[a] for a in args]))
-        state.update((pickle.dumps(own),))
+        state.update((pickle.dumps(machines.saved(own)),))
         result = rows[columns].copy()
         for f, values in zip(fields, made):
             result[f.name] = pd.Series(values, index=rows.index, dtype=object)
@@ -74,11 +76,10 @@ def _stateful(query: planner.Query, df: DataFrame, options: planner.Options) ->
 
     rows = keyed.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
-    def finish(batch: DataFrame) -> DataFrame:
+    def finish(batch: DataFrame) -> tuple[DataFrame, list]:
         scope = query._scope(batch, {c: F.col(f"__s{i}") for i, c in enumerate(calls)})
         kept = batch.where(scope.condition(query.select.where)) if query.select.where else batch
-        kept = kept.orderBy(*[(scope.compile(e).asc_nulls_last() if up else scope.compile(e).desc_nulls_last()) for e, up in query.select.order] or [seq])
-        return kept.select(*[scope.compile(i.expr).alias(n) for i, n in zip(query.select.items, query.names)])
+        return query.projected(query._scope(kept, scope.values), [], seq, True)
 
     return StreamingQueryPlan(rows, finish)
 
@@ -90,14 +91,12 @@ def _windowed(query: planner.Query, df: DataFrame, options: planner.Options) ->
     extra = {"__at": F.unix_micros(F.col(options.ts).cast("timestamp"))} if w.kind == "sliding" else {}
     if w.kind == "state":
         extra = {"__o": scope.condition(w.open), "__e": scope.condition(w.emit)}
-    if w.kind == "sliding" and len(w.numbers) > 1 and w.numbers[1]:
-        raise s.SqlError("over a stream, sliding windows can't look ahead")
     keyed, keys = _keyed(df, [scope.compile(k) for k in w.by], extra)
     columns, seq, kind, numbers = df.columns, options.seq, w.kind, w.numbers
     schema = T.StructType([*df.schema.fields, T.StructField("__w", T.LongType()), *[T.StructField(f"__by{i}", keyed.schema[k].dataType) for i, k in enumerate(keys if w.by else [])]])
 
     def run(key, batches, state: GroupState):
-        fresh = {"count": lambda: machines.CountWindow(numbers[0]), "state": machines.StateWindow, "sliding": lambda: machines.SlidingWindow(numbers[0] * 1_000_000)}[kind]
+        fresh = {"count": lambda: machines.CountWindow(numbers[0]), "state": machines.StateWindow, "sliding": lambda: machines.SlidingWindow(numbers[0] * 1_000_000, (numbers[1] if len(numbers) > 1 else 0) * 1_000_000)}[kind]
         own = pickle.loads(state.get[0]) if state.exists else fresh()
         rows = pd.concat(list(batches)).sort_values(seq, kind="stable")
         out = []
@@ -113,17 +112,14 @@ def _windowed(query: planner.Query, df: DataFrame, options: planner.Options) ->
     return StreamingQueryPlan(rows, lambda batch: _tail(query, batch, parts, seq))
 
 
-def _tail(query: planner.Query, df: DataFrame, parts: list[str], seq: str) -> DataFrame:
+def _tail(query: planner.Query, df: DataFrame, parts: list[str], seq: str) -> tuple[DataFrame, list]:
     """Aggregation, HAVING, ORDER BY and projection of rows that have their windows."""
     scope = query._scope(df)
     if query.aggregates:
-        scope = query._aggregated(df, scope, parts, seq)
+        scope = query._aggregated(df, scope, parts, seq, True)
     if query.select.having:
         scope = query._scope(scope.frame.where(scope.condition(query.select.having)), scope.values)
-    out = scope.frame
-    if query.select.order:
-        out = out.orderBy(*parts, *[(scope.compile(e).asc_nulls_last() if up else scope.compile(e).desc_nulls_last()) for e, up in query.select.order])
-    return out.select(*[scope.compile(i.expr).alias(n) for i, n in zip(query.select.items, query.names)])
+    return query.projected(scope, parts, "__first" if query.aggregates else seq, True)
 
 
 def _tumbling(query: planner.Query, df: DataFrame, options: planner.Options, tolerance: str) -> StreamingQueryPlan:
@@ -135,18 +131,13 @@ def _tumbling(query: planner.Query, df: DataFrame, options: planner.Options, tol
     df = df.withWatermark(options.ts, tolerance).withColumn("__window", F.window(options.ts, f"{query.select.window.numbers[0]} seconds"))
     scope = query._scope(df)
     if not query.aggregates:
-        return StreamingQueryPlan(df.select(*[scope.compile(i.expr).alias(n) for i, n in zip(query.select.items, query.names)]), lambda batch: batch)
-    grouped = query._aggregated(df, scope, ["__window"], options.seq)
+        return StreamingQueryPlan(df, lambda batch: query.projected(query._scope(batch), [], options.seq, True))
+    grouped = query._aggregated(df, scope, ["__window"], options.seq, True)
     if query.select.having:
         grouped = query._scope(grouped.frame.where(grouped.condition(query.select.having)), grouped.values)
     rows = grouped.frame
 
-    def finish(batch: DataFrame) -> DataFrame:
-        own = query._scope(batch, grouped.values)
-        order = [(own.compile(e).asc_nulls_last() if up else own.compile(e).desc_nulls_last()) for e, up in query.select.order]
-        return (batch.orderBy("__window", *order) if order else batch).select(*[own.compile(i.expr).alias(n) for i, n in zip(query.select.items, query.names)])
-
-    return StreamingQueryPlan(rows, finish)
+    return StreamingQueryPlan(rows, lambda batch: query.projected(query._scope(batch, grouped.values), ["__window"], "__first", True))
 
 
 def plan_stream(sql: str, df: DataFrame, options: planner.Options = planner.Options(), tolerance: str = "0 seconds") -> StreamingQueryPlan:
@@ -160,11 +151,16 @@ def plan_stream(sql: str, df: DataFrame, options: planner.Options = planner.Opti
         return _windowed(query, df, options)
     if query.stateful:
         return _stateful(query, df, options)
-    return StreamingQueryPlan(df, lambda batch: query.apply(batch, options))
+    return StreamingQueryPlan(df, lambda batch: query.ordered(batch, options))
 
 
-def start_query(sql: str, df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, options: planner.Options = planner.Options(), tolerance: str = "0 seconds", trigger: dict | None = None) -> StreamingQuery:
-    """Starts a query; ``sink(rows, batch number)`` gets the output rows of every micro-batch."""
+def start_query(sql: str, df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, options: planner.Options = planner.Options(), tolerance: str = "0 seconds", trigger: dict | None = None, ordered: bool = False) -> StreamingQuery:
+    """Starts a query; ``sink(rows, batch number)`` gets the output rows of every micro-batch, or with ``ordered`` a frame with hidden columns and its order."""
     planned = plan_stream(sql, df, options, tolerance)
+
+    def give(batch: DataFrame, number: int) -> None:
+        rows, sort = planned.finish(batch)
+        sink((rows, sort) if ordered else rows.orderBy(*sort).drop(*[c for c in rows.columns if c.startswith("__h")]), number)
+
     writer = planned.rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(lambda batch, number: sink(planned.finish(batch), number)).trigger(**(trigger or {"availableNow": True})).start()
+    return writer.foreachBatch(give).trigger(**(trigger or {"availableNow": True})).start()
