@@ -33,18 +33,37 @@ def test_row_diff(spark, values, columns, want):
     assert json.loads(payload(encoders.encode_json(diff, "__seq"))) == want
 
 
-@pytest.mark.parametrize("tracked, want", [(["speed", "rpm"], [0, 2]), (["rpm"], [0, 2]), (None, [0, 1, 2])])
-def test_on_change(spark, tracked, want):
-    df = rows(spark, [(10, 1000, 1), (10, 1000, 2), (20, 2000, 2)], "speed long, rpm long, gear long")
-    assert sorted(r[0] for r in shaping.on_change(df, "__seq", tracked).collect()) == want
+@pytest.mark.parametrize("rows", [3, 1_000_000])
+def test_on_change(spark, rows):
+    import random
+
+    rnd = random.Random(4)
+    data = [(i, rnd.choice([None, 1, 2]), rnd.choice("ab"), i) for i in range(50)]
+    df = spark.createDataFrame(data, "__seq long, p long, q string, r long").repartition(4)
+    for tracked, of in ((["p", "q"], lambda x: x[1:3]), (["q"], lambda x: x[2]), (None, lambda x: x[1:])):
+        want = [x[0] for k, x in enumerate(data) if k == 0 or of(x) != of(data[k - 1])]
+        assert sorted(r[0] for r in shaping.on_change(df, "__seq", tracked, rows=rows).collect()) == want
 
 
 def test_event_time_out_of_order(spark):
-    df = eventtime.event_time(rows(spark, [(7, 7000), (1, 1000), (4, 4000), (17, 17000)], "a long, event_ts long"), "event_ts")
-    kept = eventtime.drop_late(df, "__ts", "__seq", 7)
-    out = weir.run("SELECT sum(a) AS s FROM stream GROUP BY tumblingwindow('ss', 10)", kept)
-    assert sorted(r.s for r in out.collect()) == [12, 17]
-    assert sorted(r.a for r in eventtime.drop_late(df, "__ts", "__seq", 5).collect()) == [4, 7, 17]
+    import random
+
+    rnd = random.Random(14)
+    data = [(i, i * 5000 + rnd.choice([0, 2000, -9000, -30000])) for i in range(8, 60)]
+    df = eventtime.event_time(spark.createDataFrame(data, "__seq long, at long").repartition(3), "at")
+    for tolerance in (4, 12):
+        most, kept = None, []
+        for i, at in data:
+            kept += [i] if most is None or at > most - tolerance * 1000 else []
+            most = at if most is None else max(most, at)
+        late = eventtime.drop_late(df, "__ts", "__seq", tolerance)
+        assert sorted(r[0] for r in late.collect()) == kept and len(kept) < len(data)
+        sums = {}
+        for i, at in data:
+            if i in kept:
+                sums[at // 10_000] = sums.get(at // 10_000, 0) + at
+        out = weir.run("SELECT sum(at) AS s FROM stream GROUP BY tumblingwindow('ss', 10)", late)
+        assert sorted(r.s for r in out.collect()) == sorted(sums.values())
 
 
 def test_decode_json(spark):
