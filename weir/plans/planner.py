@@ -142,14 +142,16 @@ class Query:
     def apply(self, df: DataFrame, options: Options = Options()) -> DataFrame:
         """The query's rows."""
         if self._is_star(df, options):
-            return df.drop(*[c for c in df.columns if c not in self.names])
+            own = set(self.names)
+            return df.drop(*[c for c in df.columns if c not in own])
         return self._applied(df, options, False)[0]
 
     def _is_star(self, df: DataFrame, options: Options) -> bool:
         """Whether nothing is asked for but the stream's columns as they are."""
         q = self.select
         plain = not (q.where or q.window or q.keys or q.having or q.order) and all(isinstance(i.expr, s.Name) and not i.expr.source and i.expr.column == n for i, n in zip(q.items, self.names))
-        return plain and self.names == [c for c in df.columns if c in set(self.names)]
+        own = set(self.names)
+        return plain and self.names == [c for c in df.columns if c in own]
 
     def ordered(self, df: DataFrame, options: Options = Options()) -> tuple[DataFrame, list[Column]]:
         """The query's rows with hidden columns, and the order in which they arrive at a sink."""
