@@ -160,3 +160,21 @@ REFUSED = [
 def test_refused(spark, sql):
     with pytest.raises(ValueError):
         weir.run(sql, frame(spark, {"a": [1], "b": [2]}))
+
+
+@pytest.mark.parametrize("back, ahead", [(1, 0), (7, 0), (7, 3), (5, 20)])
+def test_sliding_windows(spark, back, ahead):
+    """Windows of rows in any order of time, with ties and nulls, against a scan of all rows for each."""
+    rng = random.Random(back * 31 + ahead)
+    rows = [(i, rng.choice([None, *range(-9, 60)]), rng.choice([None, 1, 2, 30, 2**31 - 1]), rng.choice([None, 0.5, 2.25, -8.0]), [rng.choice("xyz")]) for i in range(150)]
+    df = spark.createDataFrame(rows, "__seq long, t long, a int, b double, c array<string>").selectExpr("__seq", "timestamp_seconds(t) AS __ts", "a", "b", "c").repartition(5)
+    sql = f"SELECT c, count(*) AS n, count(a) AS na, sum(a) AS s, avg(b) AS m, min(b) AS lo, max(a) AS hi, last_row(b) AS z FROM s GROUP BY slidingwindow('ss', {back}{f', {ahead}' if ahead else ''})"
+    found, want = [tuple(r) for r in weir.run(sql, df).collect()], []
+    for i, t, *_ in rows:
+        if t is not None:
+            seen = [r for r in rows if r[1] is not None and t - back <= r[1] <= t + ahead and (ahead or r[1] < t or r[0] <= i)]
+            a, b = [r[2] for r in seen if r[2] is not None], [r[3] for r in seen if r[3] is not None]
+            want.append((seen[-1][4], len(seen), len(a), min(sum(a), 2**31 - 1) if a else None, sum(b) / len(b) if b else None, min(b, default=None), max(a, default=None), seen[-1][3]))
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    # nothing is joined, so the work doesn't grow with the rows of a window
+    assert "Join" not in weir.run(sql, df)._jdf.queryExecution().optimizedPlan().toString()

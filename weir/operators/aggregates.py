@@ -68,3 +68,13 @@ register_aggregate("count", lambda x, kind, seq: F.count(x))
 register_aggregate("ndv", lambda x, kind, seq: F.count_distinct(x))
 register_aggregate("deduplicate", _deduplicate)
 register_aggregate("last_row", lambda x, kind, seq: F.max_by(x, seq))
+
+#: Aggregates of rows in two parts: name -> builder(argument, arrival order) of a part's values, builder(those values, type) of the whole.
+MERGED: dict[str, tuple[Callable[[Column, Column], list[Column]], Callable[[list[Column], T.DataType], Column]]] = {
+    "count": (lambda x, seq: [F.count(x)], lambda p, kind: F.coalesce(F.sum(p[0]), F.lit(0))),
+    "sum": (lambda x, seq: [F.sum(x)], lambda p, kind: _sum(p[0], kind)),
+    "avg": (lambda x, seq: [F.sum(x.cast("double")), F.count(x)], lambda p, kind: F.when(F.sum(p[1]) > 0, F.sum(p[0]) / F.sum(p[1]))),
+    "min": (lambda x, seq: [F.min(x)], lambda p, kind: F.min(p[0])),
+    "max": (lambda x, seq: [F.max(x)], lambda p, kind: F.max(p[0])),
+    "last_row": (lambda x, seq: [F.max(seq), F.max_by(x, seq)], lambda p, kind: F.max_by(p[1], p[0])),
+}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .aggregates import MERGED
 from .ordering import arrival_index
 from .stateful import State
 
@@ -44,6 +46,34 @@ def sliding(df: DataFrame, ts: str, seq: str, back: int, ahead: int = 0) -> tupl
     return rows.join(triggers, (rows["__b"] == triggers["__b"]) & seen).drop("__b", "__at", "__wt"), ["__w"]
 
 
+def slid(df: DataFrame, ts: str, seq: str, back: int, ahead: int, asked: list[tuple[str, Column, T.DataType | None, str]]) -> DataFrame:
+    """__w and the aggregates ``asked`` (name, argument, its type, alias), all in MERGED, of the windows that ``sliding`` makes.
+
+    A window is as wide as a bucket of time, so it is the end of one bucket and the
+    beginning of the next. Each row asks for both: it stands among a bucket's rows where
+    its window begins, in descending order, and among the next one's where its window
+    ends, and finds there what the rows before it come to. So a row is moved four times
+    and a window's two parts once, however many rows a window has; a task must hold no
+    more than sorts of a bucket, which spill. Rows without a time are in no window.
+    """
+    width = (back + ahead) * 1_000_000
+    bucket = lambda at: ((at - F.pmod(at, F.lit(width))) / width).cast("long")
+    at, never = F.col("__at"), F.lit(None).cast(df.schema[seq].dataType)
+    low, high, turn = at - back * 1_000_000, at + ahead * 1_000_000, never if ahead else F.col("__w")
+    place = lambda b, begins, order, turn, asks: F.struct(b.alias("b"), F.lit(begins).alias("begins"), order.alias("order"), turn.alias("turn"), F.lit(asks).alias("asks"))
+    places = [place(bucket(at), False, -at, never, False), place(bucket(low), False, -low, never, True), place(bucket(at), True, at, turn, False), place(bucket(high), True, high, turn, True)]
+    inputs = [x.alias(f"__x{i}") for i, (_, x, _, _) in enumerate(asked)]
+    rows = df.select(micros(F.col(ts)).alias("__at"), F.col(seq).alias("__w"), *inputs).where("__at IS NOT NULL")
+    spots = rows.select(F.explode(F.array(*places)).alias("__p"), "__w", *[f"__x{i}" for i in range(len(asked))])
+    own = lambda c: F.when(~F.col("__p.asks"), F.col(c))
+    spots = spots.select("__p.*", "__w", own("__w").alias("__seq"), *[own(f"__x{i}").alias(f"__x{i}") for i in range(len(asked))])
+    before = Window.partitionBy("b", "begins").orderBy("order", "turn", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = [MERGED[name][0](F.col(f"__x{i}"), F.col("__seq")) for i, (name, *_) in enumerate(asked)]
+    found = spots.select("__w", "asks", *[c.over(before).alias(f"__p{i}_{k}") for i, p in enumerate(parts) for k, c in enumerate(p)]).where("asks")
+    whole = [MERGED[name][1]([F.col(f"__p{i}_{k}") for k in range(len(parts[i]))], kind).alias(alias) for i, (name, _, kind, alias) in enumerate(asked)]
+    return found.groupBy("__w").agg(*whole)
+
+
 def state(df: DataFrame, seq: str, open_: Column, emit: Column, by: list[Column], graceful: bool = True) -> tuple[DataFrame, list[str]]:
     """Windows from a row where ``open_`` holds to the next one where ``emit`` does, for each of ``by``.
 

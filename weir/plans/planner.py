@@ -10,6 +10,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import aggregates, ordering, stateful, windows
 from ..scratch import written
@@ -168,11 +169,14 @@ class Query:
             scope = self._with_state(scope, call, seq)
         df = scope.frame.where(scope.condition(q.where)) if q.where else scope.frame
         parts: list[str] = []
-        if q.window:
+        slides = q.window and q.window.kind == "sliding" and not q.keys and self.aggregates and all(c.name in aggregates.MERGED for c in self.aggregates)
+        if slides:
+            parts = ["__w"]
+        elif q.window:
             df, parts = self._windowed(df, scope, options)
         scope = self._scope(df, scope.values)
         if self.aggregates:
-            scope = self._aggregated(df, scope, parts, seq, ordered)
+            scope = self._aggregated(df, scope, parts, seq, ordered, options.ts if slides else None)
         if q.having:
             scope = self._scope(scope.frame.where(scope.condition(q.having)), scope.values)
         return self.projected(scope, parts, "__first" if self.aggregates else seq, ordered)
@@ -214,17 +218,20 @@ class Query:
             return windows.sliding(df, options.ts, options.seq, *w.numbers)
         return windows.state(df, options.seq, scope.condition(w.open), scope.condition(w.emit), [scope.compile(k) for k in w.by], options.graceful)
 
-    def _aggregated(self, df: DataFrame, scope: Scope, parts: list[str], seq: str, ordered: bool = False) -> Scope:
-        """Groups; a column that is neither a key nor in an aggregate has the value of the group's last row."""
+    def _aggregated(self, df: DataFrame, scope: Scope, parts: list[str], seq: str, ordered: bool = False, slides: str | None = None) -> Scope:
+        """Groups; a column that is neither a key nor in an aggregate has the value of the group's last row.
+
+        With ``slides``, the time, ``df`` has the rows themselves rather than those of each sliding window.
+        """
         q = self.select
         keys = {k: f"__k{i}" for i, k in enumerate(dict.fromkeys(q.keys))}
         values: dict[s.Node, Column] = {}
-        made = []
+        asked: list[tuple[str, Column, T.DataType | None, str]] = []  # name, argument, its type, alias
         for i, call in enumerate(self.aggregates):
             if len(call.args) != 1:
                 raise s.SqlError(f"{call.name} takes one argument")
             x = F.lit(1) if isinstance(call.args[0], s.Star) and call.name == "count" else scope.compile(call.args[0])
-            made.append(aggregates.AGGREGATES[call.name](x, scope.type_of(x, call.args[0] if not isinstance(call.args[0], s.Star) else None), F.col(seq)).alias(f"__a{i}"))
+            asked.append((call.name, x, scope.type_of(x, call.args[0] if not isinstance(call.args[0], s.Star) else None), f"__a{i}"))
             values[call] = F.col(f"__a{i}")
         values |= {k: F.col(n) for k, n in keys.items()}
         last = {}
@@ -240,9 +247,14 @@ class Query:
 
         for e in [*(i.expr for i in q.items), *(e for e, _ in q.order), *([q.having] if q.having else [])]:
             gather(e)
-        made += [F.max_by(scope.compile(n), F.col(seq)).alias(c) for n, c in last.items()]
-        made += [F.min(F.col(seq)).alias("__first")] if ordered else []
-        grouped = df.groupBy(*parts, *[scope.compile(k).alias(n) for k, n in keys.items()]).agg(*made)
+        asked += [("last_row", scope.compile(n), None, c) for n, c in last.items()]
+        asked += [("min", F.col(seq), None, "__first")] if ordered else []
+        made = [aggregates.AGGREGATES[name](x, kind, F.col(seq)).alias(alias) for name, x, kind, alias in asked]
+        if slides:
+            back, ahead = (*q.window.numbers, 0)[:2]
+            grouped = windows.slid(df, slides, seq, back, ahead, asked)
+        else:
+            grouped = df.groupBy(*parts, *[scope.compile(k).alias(n) for k, n in keys.items()]).agg(*made)
         out = self._scope(grouped)
         out.values = values | {n: F.col(c) for n, c in last.items()}
         return out
