@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import engine, scratch
 from .operators import eventtime, shaping
 from .plans import planner
 from .sources import decoders, encoders, schemas
@@ -284,3 +285,100 @@ def columnar_csv_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def template_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events")
     return rows.select("event_id", encoders.render('{"id": {{ event_id }}, "kind": {{ json(event_type) }}}', rows).alias("item"))
+
+
+# --- one history for all rows --------------------------------------------------------------
+@frame("on_change_all", "SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (ORDER BY event_id) AS p FROM events) WHERE event_type IS DISTINCT FROM p")
+def on_change_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shaping.on_change(read(spark, sf_dir, "events"), "event_id", ["event_type"]).select("event_id", "event_type")
+
+
+dialect(
+    "state_window_all",
+    "SELECT count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY statewindow(event_type = 'view', event_type = 'purchase')",
+    """SELECT count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, active, event_type = 'view' AS o, sum(CASE WHEN NOT active AND event_type = 'view' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS w
+    FROM (SELECT *, coalesce(last_value(CASE event_type WHEN 'view' THEN true WHEN 'purchase' THEN false END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS active FROM events)) WHERE active OR o GROUP BY w""",
+)
+dialect(
+    "stateful_lifecycle_all",
+    "SELECT event_id, round(acc_sum(value, event_type = 'view', event_type = 'purchase'), 3) AS s FROM events",
+    """SELECT event_id, round(coalesce(sum(CASE WHEN o THEN value END) OVER (PARTITION BY g ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0), 3) AS s FROM (SELECT *, bool_or(event_type = 'view') OVER (PARTITION BY g ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS o
+    FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM events))""",
+)
+dialect(
+    "sliding_window_last_row",
+    "SELECT event_type, user_id, count(value) AS n, round(avg(value), 7) AS a, min(value) AS lo, max(value) AS hi FROM events GROUP BY slidingwindow('ss', 900, 300)",
+    """SELECT arg_max(r.event_type, r.event_id) AS event_type, arg_max(r.user_id, r.event_id) AS user_id, count(r.value) AS n, round(avg(r.value), 7) AS a, min(r.value) AS lo, max(r.value) AS hi
+    FROM events t JOIN events r ON r.ts BETWEEN t.ts - INTERVAL 900 SECOND AND t.ts + INTERVAL 300 SECOND GROUP BY t.event_id""",
+)
+
+
+# --- nested columns, lists and objects of columns --------------------------------------------
+@frame("nested_columns", "SELECT event_id, event_type AS kind, value AS v, CASE WHEN event_id % 2 = 0 THEN user_id ELSE -1 END AS second, value > 100 AS high FROM events")
+def nested_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("event_id", F.struct("event_type", F.struct("value").alias("inner")).alias("r"), F.array("event_id", F.when(F.col("event_id") % 2 == 0, F.col("user_id"))).alias("l"))
+    return planner.run("SELECT event_id, r->event_type AS kind, r->inner->value AS v, coalesce(l[1], -1) AS second, r->inner->value > 100 AS high FROM events", rows, EVENTS)
+
+
+@frame(
+    "array_columns",
+    """SELECT event_id, CAST(coalesce(list_position(arr, 2), 0) - 1 AS BIGINT) AS a, CAST(CASE WHEN arr[3] = 2 THEN 2 WHEN arr[2] = 2 THEN 1 WHEN arr[1] = 2 THEN 0 ELSE -1 END AS BIGINT) AS b, arr[3] AS c, coalesce(arr[2], -1) AS d, list_contains(arr, 1) AS e,
+    replace(replace(list_filter(arr, lambda x: x IS DISTINCT FROM 2)::VARCHAR, ' ', ''), 'NULL', 'null') AS f, replace(replace((arr || [event_id])::VARCHAR, ' ', ''), 'NULL', 'null') AS g
+    FROM (SELECT event_id, [user_id % 3, CASE WHEN event_id % 4 <> 0 THEN event_id % 3 END, user_id % 4] AS arr FROM events)""",
+)
+def array_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 3)
+    rows = read(spark, sf_dir, "events").select("event_id", F.array(F.col("user_id") % 3, third, F.col("user_id") % 4).alias("arr"))
+    sql = "SELECT event_id, array_position(arr, 2) AS a, array_last_position(arr, 2) AS b, element_at(arr, -1) AS c, coalesce(element_at(arr, 1), -1) AS d, array_contains(arr, 1) AS e, to_json(array_remove(arr, 2)) AS f, to_json(array_concat(arr, array_create(event_id))) AS g FROM events"
+    return planner.run(sql, rows, EVENTS)
+
+
+_PAIR = """CASE WHEN event_type < 'view' THEN '{"' || event_type || '":' || user_id || ',"view":' || event_id || '}' WHEN event_type = 'view' THEN '{"view":' || event_id || '}' ELSE '{"view":' || event_id || ',"' || event_type || '":' || user_id || '}' END"""
+dialect(
+    "object_columns",
+    "SELECT event_id, to_json(object_construct(event_type, user_id, 'view', event_id)) AS a, to_json(keys(object_construct(event_type, user_id))) AS b, object_size(object_construct(event_type, user_id, 'view', event_id)) AS c, to_json(erase(object_construct(event_type, user_id, 'zz', event_id), event_type)) AS d, to_json(object_concat(object_construct(event_type, user_id), object_construct('view', event_id))) AS e, to_json(values(object_construct(event_type, user_id))) AS f FROM events",
+    f"""SELECT event_id, {_PAIR} AS a, '["' || event_type || '"]' AS b, CAST(CASE event_type WHEN 'view' THEN 1 ELSE 2 END AS BIGINT) AS c, '{{"zz":' || event_id || '}}' AS d, {_PAIR} AS e, '[' || user_id || ']' AS f FROM events""",
+)
+
+
+# --- streams and sinks of the engine -----------------------------------------------------------
+_EVENT_COLUMNS = {"columns": [{"name": "event_id", "data_type": "int64"}, {"name": "event_type", "data_type": "string"}, {"name": "user_id", "data_type": "int64"}, {"name": "value", "data_type": "float64"}, {"name": "at", "data_type": "int64"}]}
+
+
+def _sunk(spark: SparkSession, sf_dir: str, sql: str, **sink) -> DataFrame:
+    """What a sink gets of a query over shuffled events."""
+    got, own = [], engine.Engine(spark)
+    own.create_stream(engine.Stream("events", _EVENT_COLUMNS, lambda s: read(s, sf_dir, "events").repartition(7), seq="event_id"))
+    own.create_pipeline(engine.Pipeline("p", sql, [engine.Sink(lambda df: got.append(scratch.kept(df, "sunk")), **sink)]))
+    own.run("p")
+    return got[0]
+
+
+@frame("sink_delta_keyed", "SELECT event_id, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN event_type END AS event_type, count(value) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events")
+def sink_delta_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sunk(spark, sf_dir, "SELECT event_id, event_type, acc_count(value) OVER (PARTITION BY user_id) AS n FROM events", delta=True, delta_columns=["event_type"])
+    return found.select("event_id", "event_type", "n")
+
+
+@frame("sink_batches_shuffled", """SELECT b, '[' || string_agg('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}', ',' ORDER BY event_id) || ']' AS payload FROM (SELECT event_id, event_type, (row_number() OVER (ORDER BY event_id) - 1) // 100 AS b FROM events WHERE value > 50) GROUP BY b""")
+def sink_batches_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sunk(spark, sf_dir, "SELECT event_id, event_type FROM events WHERE value > 50", encoder="json", batch_count=100)
+    return found.select(F.col("__batch").alias("b"), "payload")
+
+
+@frame("sink_omit_batches", """SELECT CASE WHEN sent THEN level END AS level FROM (SELECT level, sent, bool_or(sent) OVER (PARTITION BY b) AS any_sent FROM (SELECT level, level IS DISTINCT FROM lag(level) OVER (ORDER BY event_id) AS sent, (row_number() OVER (ORDER BY event_id) - 1) // 4 AS b FROM (SELECT event_id, CASE WHEN value > 20 THEN 'hi' ELSE 'lo' END AS level FROM events))) WHERE any_sent""")
+def sink_omit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sunk(spark, sf_dir, "SELECT CASE WHEN value > 20 THEN 'hi' ELSE 'lo' END AS level FROM events", delta=True, omit_if_empty=True, batch_count=4).select("level")
+
+
+@frame(
+    "event_time_order",
+    """SELECT event_id, coalesce(lag(event_id) OVER (ORDER BY t, event_id), -1) AS before FROM (SELECT event_id, t, max(t) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+    FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CASE event_type WHEN 'click' THEN 1800 WHEN 'error' THEN 7200 ELSE 0 END AS t FROM events)) WHERE top IS NULL OR t > top - 3600""",
+)
+def event_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    behind = F.when(F.col("event_type") == "click", 1800).when(F.col("event_type") == "error", 7200).otherwise(0)
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) - behind
+    own = engine.Engine(spark)
+    own.create_stream(engine.Stream("events", _EVENT_COLUMNS, lambda s: read(s, sf_dir, "events").withColumn("at", at.cast("long")), seq="event_id", event_column="at", event_kind="unixtimestamp_s", late_tolerance=3600))
+    return own.query("SELECT event_id, coalesce(lag(event_id), -1) AS before FROM events")
