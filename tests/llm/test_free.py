@@ -475,6 +475,20 @@ def test_jaccard_pivots(spark, monkeypatch):
     assert sorted(got) == sorted(components_of(list(enumerate(texts)), 3, 80)) and met
 
 
+def test_jaccard_shared_passages_hang_nothing_together(spark, monkeypatch):
+    """Documents that share passages, but too little to link, aren't compared with each other; near copies among them are found."""
+    rnd = random.Random(31)
+    passages = [" ".join(f"p{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(60)]
+    texts = [" ".join([*rnd.sample(passages, 3), *(f"own{rnd.randrange(10**9)}" for _ in range(60))]) for _ in range(400)]
+    texts += [t + " end" for t in texts[:20]] + texts[20:30]
+    hanging, plain = [], jaccard_join._hanging
+    monkeypatch.setattr(jaccard_join, "_hanging", lambda ties: hanging.append(plain(ties)) or hanging[-1])
+    got = [(r.id, r.size, r.component) for r in jaccard_join.jaccard_components(frame(spark, texts), n=5, percent=80).collect()]
+    want = components_of(list(enumerate(texts)), 5, 80)
+    assert sorted(got) == sorted(want) and sum(i != c for i, _, c in want) == 30
+    assert max(r["count"] for r in hanging[0].groupBy("component").count().collect()) < 10
+
+
 def test_jaccard_blocks_are_linear():
     """The number of blocks that keys go in, over three sizes, stays in proportion to the keys."""
     import math

@@ -5,15 +5,18 @@ fewer words the whole sequence is one; without words it is empty and linked with
 Two documents link if |A and B| / |A or B| >= ``percent`` / 100.
 
 1. Equal sets collapse to the least id among them.
-2. Light sets, up to a size where that costs less, enumerate their subsets of every fixed
-   size that a link can require. Heavy sets enter inverted lists: their tokens are dealt to
-   parts by a hash, one more than two linked sets may differ in, so that at least one part
-   of both is the same; a list holds the sets with one content of one part. (Lists of single
-   tokens, the plain form, are as long as their token is frequent, and passages that many
-   documents share would make them quadratic.)
-   Lists are dealt to buckets by ranges of their keys, as compressed blocks; a batch of
-   documents tells a bucket each key once, so that no list is long for being frequent.
-   Batches and buckets both grow with the square root of the number of keys, so that the
+2. Light sets, up to a size where these are few, enumerate their subsets of every fixed
+   size that a link can require. Heavy sets enter the inverted lists of a prefix of their
+   tokens in one order of all tokens: those that are rarest, one more than a linked set may
+   lack, so that the prefixes of linked sets have a token in common. Tokens are counted for
+   that, a share of them by their hash, over all documents; those not counted come last.
+   What one document alone has makes no list. (Counts are of 32 bits of a hash within a
+   bucket: tokens taken for the same one only seem more frequent.) Passages that many
+   documents share are in no prefix but of documents of little else, so that what hangs
+   together doesn't grow into most of the input, as it did by lists of parts of a set.
+   Tokens and lists are dealt to buckets by ranges of their keys, as compressed blocks; a
+   chunk of documents tells a bucket each key once, so that no list is long for being
+   frequent. Chunks and buckets both grow with the square root of the input, so that the
    number of blocks stays in proportion to it.
 3. Sets on one list are tied to the least of them, so there are at most as many ties as
    keys. Of what hangs together in more than a block, all documents are first compared
@@ -39,6 +42,7 @@ import functools
 import itertools
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -47,23 +51,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import cuts, mix, pack, unpack
-from .common import LOWER, SPACE_WORD, UPPER, table, written
+from .common import LOWER, SPACE_WORD, UPPER, plan_bytes, table, written
 from .components import connected_components
 
 _WORD = re.compile(SPACE_WORD)
 _LOW = str.maketrans(UPPER, LOWER)
 _U = np.uint64
-#: What comparing a candidate costs for each of its tokens, in keys.
-VERIFY = 0.25
+#: Keys that a light set has at most.
+LIGHT_KEYS = 128
 #: Documents and shingles of a block; what hangs together and is larger is compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
 #: The same for screening; and documents of small groups that are worked on together.
 SCREEN_DOCS, PACK_DOCS = 16384, 1024
-#: Keys of a bucket, so few that a tie is seldom found in as many buckets as there are; documents whose keys become one block a bucket.
-BUCKET_KEYS, KEY_ROWS = 1 << 17, 1024
-#: Keys from which on batches and buckets grow; pivots of a group, about; the share of the rest that a round must attach to be followed by another.
-GROW_KEYS, PIVOTS, ATTACHED = 1 << 26, 32, 0.2
-ROWS = 256
+#: Keys of a bucket, so few that a tie is seldom found in as many buckets as there are; documents, and counted tokens, whose keys become one block a bucket.
+BUCKET_KEYS, KEY_ROWS, KEY_TOKENS = 1 << 17, 1024, 1 << 18
+#: Counted tokens of a bucket; those counted, in shares that a linked set may lack.
+BUCKET_TOKENS, COUNTED = 1 << 20, 2.5
+#: Keys from which on buckets grow, and bytes of input from which on chunks do; pivots of a group, about; the share of the rest that a round must attach to be followed by another.
+GROW_KEYS, UNIT, PIVOTS, ATTACHED = 1 << 26, 1 << 30, 32, 0.2
 
 
 class Hasher:
@@ -101,7 +106,8 @@ class Scheme:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.light = max(s for s in range(1, 64) if self._light_cost(s) <= self._heavy_cost(s))
+        self.light = max(s for s in range(1, 64) if self._light_keys(s) <= LIGHT_KEYS)
+        self.limit = _U(min(2**64 - 1, int(COUNTED * (100 - percent) / 100 * 2**64)))  # tokens up to it are counted
 
     def spread(self, size: int) -> int:
         """The most tokens in which two linked sets of up to ``size`` differ."""
@@ -115,32 +121,12 @@ class Scheme:
             out.append(max(out[-1] + 1, out[-1] * 100 // self.percent + 1))
         return out
 
-    @functools.lru_cache(maxsize=None)
-    def parts(self, c: int) -> tuple[int, int]:
-        """Parts of class ``c``, and how many empty ones a set may have that needs no keys of empty parts.
-
-        With ``spare`` more parts than can differ and one, at least spare + 1 are equal in
-        linked sets, so one of these isn't empty if either set has at most ``spare`` empty
-        parts; if both have more, both also have the keys of their empty parts.
-        """
-        low, high = self.starts[max(0, c - 1)], self.starts[c + 1] - 1
-        spare, most = 0, self.spread(high)
-        while True:
-            expected = (most + 1 + spare) * math.exp(-low / (most + 1 + spare))
-            if spare >= expected + 4 * math.sqrt(expected) or spare > 4 * most + 8:
-                return most + 1 + spare, spare
-            spare += 1
-
     def class_of(self, size: int) -> int:
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
-    def _light_cost(self, s: int) -> float:
+    def _light_keys(self, s: int) -> int:
         return sum(math.comb(s, j) for j in range(self.deletions(s) + 1))
 
-    def _heavy_cost(self, s: int) -> float:
-        c = self.class_of(s)
-        return (self.parts(c)[0] + self.parts(c + 1)[0]) * (1 + VERIFY * s)
-
     def deletions(self, s: int) -> int:
         """The most tokens of a set of size ``s`` that a linked set lacks."""
         return s * (100 - self.percent) // 100
@@ -153,48 +139,108 @@ class Scheme:
         return np.packbits(np.bincount((mix(tokens ^ _U(0x589965CC75374CC3)) & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        s, found = len(tokens), []
-        spread_tokens = mix(tokens ^ _U(0xA0761D6478BD642F))
+        """Of a light set, its subsets that a linked light set can have in common with it."""
+        s, found = len(tokens), [np.zeros(0, np.uint64)]
         if s <= self.light:
+            spread_tokens = mix(tokens ^ _U(0xA0761D6478BD642F))
             total = spread_tokens.sum(dtype=np.uint64)
             for j in range(self.deletions(s) + 1):
                 gone = np.array([sum(map(int, x)) & (1 << 64) - 1 for x in itertools.combinations(spread_tokens, j)], np.uint64)
                 found.append(mix(total - gone + _U((s - j) * 0xE7037ED1A0B428DB & (1 << 64) - 1)))
-        if s > self.light or s * 100 >= (self.light + 1) * self.percent:
-            slot = mix(tokens) >> _U(32)
-            for c in (self.class_of(s), self.class_of(s) + 1):
-                n, spare = self.parts(c)
-                part = (slot * _U(n) >> _U(32)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                sizes = np.bincount(part, minlength=n)
-                ends = np.cumsum(sizes)
-                sums = np.concatenate([[_U(0)], np.cumsum(spread_tokens[order], dtype=np.uint64)])
-                key = mix(sums[ends] - sums[ends - sizes] + mix(np.arange(n, dtype=np.uint64) + _U((c + 1) << 32)))
-                found.append(key if (sizes == 0).sum() > spare else key[sizes > 0])
         return np.concatenate(found)
 
+    def prefix(self, s: int) -> int:
+        """How many of the first tokens of a set of size ``s``, in one order of all tokens, a linked heavy set has one of."""
+        return self.deletions(s) + 1 if s > self.light or s * 100 >= (self.light + 1) * self.percent else 0
+
+    def stored(self, tokens: np.ndarray) -> np.ndarray:
+        """Of ascending tokens those that may be in the prefix: all that are counted, and of others as many as it may need."""
+        most = self.prefix(len(tokens))
+        return tokens[: max(most, int(np.searchsorted(tokens, self.limit, "right"))) if most else 0]
+
 
 def described(docs: DataFrame, id_col: str, text_col: str, n: int, scheme: Scheme) -> DataFrame:
-    """id, size, whole (two 64-bit sums that tell sets apart), keys and parities (marks) of each document."""
+    """id, size, whole (two 64-bit sums that tell sets apart) and parities (marks) of each document; chunk and the chunk's block, in its first row.
+
+    A block has of the documents with an id and words: ids, stored tokens, prefixes' sizes, numbers of keys; all stored tokens; all keys.
+    """
+    growth = math.sqrt(max(1.0, plan_bytes(docs) / UNIT))
+    most_rows, most_tokens = int(KEY_ROWS * growth), int(KEY_TOKENS * growth)
 
     def run(batches):
         hasher = Hasher()
+        ids, sizes, first, second, marks, numbers, stored, keys, held = [], [], [], [], [], [], [], [], 0
+
+        def rows():
+            none = np.zeros(0, np.uint64)
+            block = pack(np.array(numbers, np.int64).reshape(-1, 4).T.copy(), np.concatenate([none, *stored]), np.concatenate([none, *keys]))
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(marks, pa.binary()), pa.array([uuid.uuid4().int >> 65] * len(ids), pa.int64()), pa.array([block, *[None] * (len(ids) - 1)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "size", "whole1", "whole2", "marks", "chunk", "block"])
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = hasher.shingles(text.as_py(), n)
+                ids.append(i)
+                sizes.append(len(tokens))
+                first.append(int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)))
+                second.append(int(mix(tokens ^ _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64)))
+                marks.append(scheme.parities(tokens))
+                if i is not None and len(tokens):
+                    stored.append(scheme.stored(tokens)), keys.append(scheme.keys(tokens))
+                    numbers.append((i, len(stored[-1]), scheme.prefix(len(tokens)), len(keys[-1])))
+                    held += len(stored[-1]) + len(keys[-1])
+                if len(ids) >= most_rows or held >= most_tokens:
+                    yield rows()
+                    ids, sizes, first, second, marks, numbers, stored, keys, held = [], [], [], [], [], [], [], [], 0
+        if ids:
+            yield rows()
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, size long, whole1 long, whole2 long, marks binary, chunk long, block binary")
+
+
+class Chunk:
+    """A chunk's documents: ids, how many tokens are stored, prefixes' sizes, numbers of keys; the tokens; the keys; the distinct counted tokens."""
+
+    def __init__(self, block: bytes, limit: np.uint64):
+        numbers, self.tokens, self.keys = unpack(block, np.int64, np.uint64, np.uint64)
+        self.ids, self.sizes, self.prefixes, self.n_keys = numbers.reshape(4, -1)
+        self.counted = np.flatnonzero(self.tokens <= limit)
+        self.distinct, self.which, self.times = np.unique(self.tokens[self.counted], return_inverse=True, return_counts=True)
+
+    def told(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and ids of all lists that others may be on, by the ranks of the distinct counted tokens (0: of one document)."""
+        rank = np.full(len(self.tokens), 255, np.int64)
+        rank[self.counted] = ranks[self.which]
+        owner = np.repeat(np.arange(len(self.ids)), self.sizes)
+        order = np.argsort(owner << 8 | rank, kind="stable")  # a document's tokens ascend
+        place = np.arange(len(order)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        kept = order[(place < self.prefixes[owner]) & (rank[order] > 0)]
+        return np.concatenate([mix(self.tokens[kept]), self.keys]), np.concatenate([self.ids[owner[kept]], np.repeat(self.ids, self.n_keys)])
+
+
+def _tell_tokens(buckets: int, limit: np.uint64):
+    """Blocks of a chunk's counted tokens for the buckets: 32 bits of each token, and in how many documents it is."""
+
+    def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                sizes, first, second, keys, marks = [], [], [], [], []
-                for text in part.column(1):
-                    tokens = hasher.shingles(text.as_py(), n)
-                    sizes.append(len(tokens))
-                    first.append(int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)))
-                    second.append(int(mix(tokens ^ _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64)))
-                    keys.append(scheme.keys(tokens).view(np.int64) if len(tokens) else np.zeros(0, np.int64))
-                    marks.append(scheme.parities(tokens))
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists, pa.array(marks, pa.binary())], names=["id", "size", "whole1", "whole2", "keys", "marks"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, size long, whole1 long, whole2 long, keys array<long>, marks binary")
+            for number, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                chunk = Chunk(block.as_py(), limit)
+                low, times = chunk.distinct.astype(np.uint32), np.minimum(chunk.times, 65535).astype(np.uint16)
+                made = [(k, pack(low[a:b], times[a:b])) for k, a, b in cuts(chunk.distinct, buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([number] * len(made), pa.int64()), pa.array([x for _, x in made], pa.binary())], names=["bucket", "chunk", "block"])
+
+    return run
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """For each chunk's tokens their ranks: 0 for those of one document, and four to each doubling of documents."""
+    parts = [unpack(x, np.uint32, np.uint16) for x in table.column("block").to_pylist()]
+    tokens, times = (np.concatenate(x) for x in zip(*parts))
+    _, which = np.unique(tokens, return_inverse=True)
+    found = np.bincount(which, weights=times)
+    ranks = np.minimum(254, np.where(found > 1, 1 + 4 * np.log2(found), 0)).astype(np.uint8)[which]
+    answers = [pack(x) for x in np.split(ranks, np.cumsum([len(x[0]) for x in parts])[:-1])]
+    return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "block": pa.array(answers, pa.binary())})
 
 
 def grouped(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,28 +253,28 @@ def grouped(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[starts], low, np.unique(np.stack([ids, own])[:, ids != own], axis=1)
 
 
-def _tell_keys(buckets: int, rows: int):
-    """Blocks of a batch's keys for the buckets: each key once, with its least id; ties within the batch go along."""
+def _pick_keys(buckets: int, limit: np.uint64):
+    """Of each chunk, by the ranks that buckets answer, its keys: each once, with its least id; ties within the chunk go along."""
 
     def run(batches):
-        ids, keys, sizes, n = [], [], [], 0
+        for batch in batches:
+            for block, answers in zip(batch.column(0), batch.column(1).to_pylist()):
+                chunk, ranks = Chunk(block.as_py(), limit), {x["bucket"]: unpack(x["block"], np.uint8)[0] for x in answers or ()}
+                key, low, ties = grouped(*chunk.told(np.concatenate([np.zeros(0, np.uint8), *(ranks[k] for k, _, _ in cuts(chunk.distinct, buckets))])))
+                yield pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64()), pa.array([pack(key, low, ties[0], ties[1])], pa.binary())], names=["n", "block"])
+
+    return run
 
-        def block():
-            key, low, ties = grouped(np.concatenate(keys).view(np.uint64), np.repeat(np.concatenate(ids), np.concatenate(sizes)))
-            made = [(k, pack(key[a:b], low[a:b], *(ties if i == 0 else ties[:, :0]))) for i, (k, a, b) in enumerate(cuts(key, buckets))]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), pa.array([r[1] for r in made], pa.binary())], names=["bucket", "block"])
 
+def _tell_keys(buckets: int):
+    """Blocks of a chunk's keys for the buckets."""
+
+    def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                lists = part.column(1)
-                ids.append(part.column(0).to_numpy(zero_copy_only=False)), keys.append(lists.flatten().to_numpy(zero_copy_only=False)), sizes.append(np.diff(lists.offsets.to_numpy()))
-                n += part.num_rows
-                if n >= rows:
-                    yield block()
-                    ids, keys, sizes, n = [], [], [], 0
-        if n:
-            yield block()
+            for block in batch.column(0):
+                key, low, u, v = unpack(block.as_py(), np.uint64, np.int64, np.int64, np.int64)
+                made = [(k, pack(key[a:b], low[a:b], *((u, v) if i == 0 else (u[:0], v[:0])))) for i, (k, a, b) in enumerate(cuts(key, buckets))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), pa.array([r[1] for r in made], pa.binary())], names=["bucket", "block"])
 
     return run
 
@@ -416,10 +462,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # ids with several sets stand for themselves, and are tied to those that have one of these sets first
     several = written(told.where("size > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*whole)).alias("a"), F.max(F.struct(*whole)).alias("b")).where("a <> b").select("id"), "several")
     sure = told.join(several, "id", "left_semi").where("size > 0 AND id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    total = filled.agg(F.sum(F.size("keys"))).head()[0] or 0
-    growth = math.sqrt(max(1.0, total / GROW_KEYS))
-    buckets = max(1, int(total / (BUCKET_KEYS * growth)))
-    ties = written(filled.select("id", "keys").mapInArrow(_tell_keys(buckets, int(KEY_ROWS * growth)), "bucket int, block binary").groupBy("bucket").applyInArrow(_tie, "u long, v long"), "ties").distinct()
+    growth = lambda total: math.sqrt(max(1.0, total / GROW_KEYS))
+    counted = (sets.agg(F.sum(F.octet_length("block"))).head()[0] or 0) // 8  # nearly: blocks are of hashes, which don't get smaller
+    tokens = max(1, int(counted / (BUCKET_TOKENS * growth(counted)) / (int(scheme.limit) / 2**64)))
+    chunks = sets.where("block IS NOT NULL").select("chunk", "block")
+    ranks = written(chunks.mapInArrow(_tell_tokens(tokens, scheme.limit), "bucket int, chunk long, block binary").groupBy("bucket").applyInArrow(_count, "bucket int, chunk long, block binary"), "ranks")
+    answers = ranks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "block")).alias("ranks")).hint("shuffle_hash")
+    picked = written(chunks.join(answers, "chunk", "left").select("block", "ranks").mapInArrow(_pick_keys(tokens, scheme.limit), "n long, block binary"), "keys")
+    total = picked.agg(F.sum("n")).head()[0] or 0
+    buckets = max(1, int(total / (BUCKET_KEYS * growth(total))))
+    ties = written(picked.select("block").mapInArrow(_tell_keys(buckets), "bucket int, block binary").groupBy("bucket").applyInArrow(_tie, "u long, v long"), "ties").distinct()
     # an id whose set an earlier one has stands for nothing of its own: its ties are that one's
     copies = told.where("size > 0 AND id <> rep").join(several, "id", "left_anti").select("id", F.col("rep").alias("r")).distinct()
     first = ties.join(copies.select(F.col("id").alias("u")), "u", "left_anti").join(copies.withColumnRenamed("id", "v"), "v", "left").select("u", F.coalesce("r", "v").alias("v"))
