@@ -65,8 +65,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
 SCREEN_DOCS, PACK_DOCS = 16384, 1024
 #: Keys of a bucket, so few that a tie is seldom found in as many buckets as there are; documents, and counted tokens, whose keys become one block a bucket.
 BUCKET_KEYS, KEY_ROWS, KEY_TOKENS = 1 << 17, 1024, 1 << 18
-#: Counted tokens of a bucket; those counted, in shares that a linked set may lack.
-BUCKET_TOKENS, COUNTED = 1 << 20, 2.5
+#: Counted tokens of a bucket; the share of all tokens that is counted, so large that also short sets have enough of them for a prefix.
+BUCKET_TOKENS, COUNTED = 1 << 20, 0.5
 #: Keys from which on buckets grow, and bytes of input from which on chunks do; pivots of a group, about; the share of the rest that a round must attach to be followed by another.
 GROW_KEYS, UNIT, PIVOTS, ATTACHED = 1 << 26, 1 << 30, 32, 0.2
 
@@ -107,7 +107,7 @@ class Scheme:
     def __init__(self, percent: int):
         self.percent = percent
         self.light = max(s for s in range(1, 64) if self._light_keys(s) <= LIGHT_KEYS)
-        self.limit = _U(min(2**64 - 1, int(COUNTED * (100 - percent) / 100 * 2**64)))  # tokens up to it are counted
+        self.limit = _U(min(2**64 - 1, int(COUNTED * 2**64)))  # tokens up to it are counted
 
     def spread(self, size: int) -> int:
         """The most tokens in which two linked sets of up to ``size`` differ."""
