@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from weir import scratch
 from weir.llm import bpe, components, jaccard_join, language_id, mixing, suffix_dedup, warc
 
 SF = "/root/testdata/sf0.001"
@@ -95,6 +97,30 @@ def test_language_repeats_and_ties(spark):
     assert len(got) == 6 and {r.lang_pred for r in got} == {"ab"}  # equal languages: the first in the alphabet
 
 
+def test_language_learns_from_one_reading(spark):
+    """Shuffle files go with their query, and none is read after that: the documents are read to be counted and to be learned from, and not again."""
+    said = [(i, t, lang) for i in range(0, 40) for t, lang in (("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "de"), ("le chat", None))]
+    docs, read = spark.createDataFrame(said, "doc_id long, text string, lang string"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    before = spark.conf.get(scratch.FILE_CLEANUP)
+    spark.conf.set(scratch.FILE_CLEANUP, "true")
+    try:
+        languages, p = language_id.learn(docs.mapInArrow(seen, docs.schema))
+    finally:
+        spark.conf.set(scratch.FILE_CLEANUP, before)
+    assert read.value == 2 * len(said)
+    want = np.full((1 << language_id.BITS, 2), language_id.SMOOTHING)
+    for i, text, lang in said:
+        if text and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            want[:, ["de", "en"].index(lang)] += language_id.trigram_counts(text)[0]
+    assert languages == ["de", "en"] and np.array_equal(p, (want / want.sum(0)).astype(np.float32))
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n", "é☃" * 1000, "<p>a</p>", "b"]
     rows = [(i, f"http://h/{i}", h) for i, h in enumerate(html)] + [(7, "http://h/7", "b"), (None, None, "b")]

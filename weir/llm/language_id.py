@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHARE, share_of, table
+from .common import SHARE, share_of, table, temporary, written
 
 #: Hash buckets of trigrams (a power of two), and the smoothing of their counts.
 BITS, SMOOTHING = 15, 0.5
@@ -122,8 +122,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     languages, p = sorted(totals), np.full((1 << BITS, len(totals)), SMOOTHING)
-    for x in counted.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).toLocalIterator():
-        p[x.b, languages.index(x.lang)] += x.n
+    grouped = counted.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))
+    # read from a table of its own: Spark takes a query as ended, and deletes its shuffle files, before toLocalIterator gets the first row
+    with temporary(docs.sparkSession):
+        for x in written(grouped, "trigrams").toLocalIterator():
+            p[x.b, languages.index(x.lang)] += x.n
     return languages, (p / p.sum(0)).astype(np.float32)
 
 
