@@ -178,3 +178,42 @@ def test_sliding_windows(spark, back, ahead):
     assert sorted(found, key=repr) == sorted(want, key=repr)
     # nothing is joined, so the work doesn't grow with the rows of a window
     assert "Join" not in weir.run(sql, df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("back, ahead", [(1, 0), (7, 0), (7, 3), (5, 20)])
+def test_sliding_windows_by_key(spark, back, ahead):
+    """Groups of sliding windows, by keys some of which are null, against a scan of all rows for each."""
+    rng = random.Random(back * 37 + ahead)
+    rows = [(i, rng.choice([None, *range(-9, 60)]), rng.choice([None, "p", "q", "r"]), rng.choice([None, 1, 2, 30, 2**31 - 1]), rng.choice([None, 0.5, 2.25, -8.0]), {"x": rng.randrange(2)}) for i in range(150)]
+    df = spark.createDataFrame(rows, "__seq long, t long, k string, a int, b double, o map<string, int>").selectExpr("__seq", "timestamp_seconds(t) AS __ts", "k", "a", "b", "o").repartition(5)
+    slides = f"slidingwindow('ss', {back}{f', {ahead}' if ahead else ''})"
+    asked = "count(*) AS n, count(a) AS na, sum(a) AS s, avg(b) AS m, min(b) AS lo, max(a) AS hi, last_row(b) AS z"
+    for sql, key in (
+        (f"SELECT k, a + 0 AS e, {asked} FROM s GROUP BY {slides}, k, a + 0", lambda r: (r[2], r[3])),
+        (f"SELECT b, k, {asked} FROM s GROUP BY {slides}, k HAVING count(*) > 0", lambda r: (r[2],)),
+        (f"SELECT o['x'] AS x, {asked} FROM s GROUP BY {slides}, o", lambda r: (r[5]["x"],)),
+    ):
+        found, want = [tuple(r) for r in weir.run(sql, df).collect()], []
+        for i, t, *_ in rows:
+            seen = [r for r in rows if t is not None and r[1] is not None and t - back <= r[1] <= t + ahead and (ahead or r[1] < t or r[0] <= i)]
+            for k in {key(r) for r in seen}:
+                group = [r for r in seen if key(r) == k]
+                a, b = [r[3] for r in group if r[3] is not None], [r[4] for r in group if r[4] is not None]
+                shown = (group[-1][4], *k) if sql.startswith("SELECT b") else k
+                want.append((*shown, len(group), len(a), min(sum(a), 2**31 - 1) if a else None, sum(b) / len(b) if b else None, min(b, default=None), max(a, default=None), group[-1][4]))
+        assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def joined(plan):
+    """How many rows the joins of a plan that has run gave."""
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return sum(map(joined, inner)) + (plan.metrics().apply("numOutputRows").value() if name.endswith("Join") else 0)
+
+
+def test_sliding_windows_by_key_join_no_rows(spark):
+    """Only the groups of the result are joined, however many rows a window has."""
+    df = spark.range(600).selectExpr("id AS __seq", "timestamp_millis(id) AS __ts", "id % 2 AS k")
+    got = weir.run("SELECT k, count(*) AS n FROM s GROUP BY slidingwindow('ss', 5, 5), k", df)
+    assert {tuple(r) for r in got.collect()} == {(0, 300), (1, 300)}
+    assert joined(got._jdf.queryExecution().executedPlan()) == 1200

@@ -30,15 +30,19 @@ def _numeric(name: str, f) -> None:
     register_aggregate(name, build)
 
 
-def _sum(x: Column, kind: T.DataType) -> Column:
-    """Of the argument's type; small integers stop at their bounds."""
+def _bounded(total: Column, kind: T.DataType) -> Column:
+    """A sum of the argument's type; small integers stop at their bounds."""
     bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(kind))
-    total = F.sum(x)
     if bits is None:
         return total.cast(kind)
     return F.when(total.isNotNull(), F.greatest(F.lit(-(1 << bits)), F.least(F.lit((1 << bits) - 1), total))).cast(kind)
 
 
+def _both(a: Column, b: Column) -> Column:
+    """The sum of two sums, each of which may be null."""
+    return F.coalesce(a + b, a, b)
+
+
 def _scalar(name: str, f) -> None:
     def build(x: Column, kind: T.DataType, seq: Column) -> Column:
         if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
@@ -56,7 +60,7 @@ def _deduplicate(x: Column, kind: T.DataType, seq: Column) -> Column:
 
 
 _numeric("avg", lambda x, _: F.avg(x.cast("double")))
-_numeric("sum", _sum)
+_numeric("sum", lambda x, kind: _bounded(F.sum(x), kind))
 _numeric("median", lambda x, _: F.median(x.cast("double")))
 _numeric("var", lambda x, _: F.var_pop(x.cast("double")))
 _numeric("vars", lambda x, _: F.var_samp(x.cast("double")))
@@ -69,12 +73,12 @@ register_aggregate("ndv", lambda x, kind, seq: F.count_distinct(x))
 register_aggregate("deduplicate", _deduplicate)
 register_aggregate("last_row", lambda x, kind, seq: F.max_by(x, seq))
 
-#: Aggregates of rows in two parts: name -> builder(argument, arrival order) of a part's values, builder(those values, type) of the whole.
-MERGED: dict[str, tuple[Callable[[Column, Column], list[Column]], Callable[[list[Column], T.DataType], Column]]] = {
-    "count": (lambda x, seq: [F.count(x)], lambda p, kind: F.coalesce(F.sum(p[0]), F.lit(0))),
-    "sum": (lambda x, seq: [F.sum(x)], lambda p, kind: _sum(p[0], kind)),
-    "avg": (lambda x, seq: [F.sum(x.cast("double")), F.count(x)], lambda p, kind: F.when(F.sum(p[1]) > 0, F.sum(p[0]) / F.sum(p[1]))),
-    "min": (lambda x, seq: [F.min(x)], lambda p, kind: F.min(p[0])),
-    "max": (lambda x, seq: [F.max(x)], lambda p, kind: F.max(p[0])),
-    "last_row": (lambda x, seq: [F.max(seq), F.max_by(x, seq)], lambda p, kind: F.max_by(p[1], p[0])),
+#: Aggregates of rows in two parts: name -> builder(argument, arrival order) of a part's values, builder(both parts' values, type) of the whole.
+MERGED: dict[str, tuple[Callable[[Column, Column], list[Column]], Callable[[list[Column], list[Column], T.DataType], Column]]] = {
+    "count": (lambda x, seq: [F.count(x)], lambda a, b, kind: a[0] + b[0]),
+    "sum": (lambda x, seq: [F.sum(x)], lambda a, b, kind: _bounded(_both(a[0], b[0]), kind)),
+    "avg": (lambda x, seq: [F.sum(x.cast("double")), F.count(x)], lambda a, b, kind: F.when(a[1] + b[1] > 0, _both(a[0], b[0]) / (a[1] + b[1]))),
+    "min": (lambda x, seq: [F.min(x)], lambda a, b, kind: F.least(a[0], b[0])),
+    "max": (lambda x, seq: [F.max(x)], lambda a, b, kind: F.greatest(a[0], b[0])),
+    "last_row": (lambda x, seq: [F.max(seq), F.max_by(x, seq)], lambda a, b, kind: F.when(a[0].isNull() | (b[0] > a[0]), b[1]).otherwise(a[1])),
 }

@@ -46,32 +46,41 @@ def sliding(df: DataFrame, ts: str, seq: str, back: int, ahead: int = 0) -> tupl
     return rows.join(triggers, (rows["__b"] == triggers["__b"]) & seen).drop("__b", "__at", "__wt"), ["__w"]
 
 
-def slid(df: DataFrame, ts: str, seq: str, back: int, ahead: int, asked: list[tuple[str, Column, T.DataType | None, str]]) -> DataFrame:
-    """__w and the aggregates ``asked`` (name, argument, its type, alias), all in MERGED, of the windows that ``sliding`` makes.
+def slid(df: DataFrame, ts: str, seq: str, back: int, ahead: int, keys: dict[str, Column], asked: list[tuple[str, Column, T.DataType | None, str]]) -> DataFrame:
+    """__w, the ``keys`` and the aggregates ``asked`` (name, argument, its type, alias), all in MERGED, of the groups by ``keys`` of the windows that ``sliding`` makes.
 
     A window is as wide as a bucket of time, so it is the end of one bucket and the
-    beginning of the next. Each row asks for both: it stands among a bucket's rows where
-    its window begins, in descending order, and among the next one's where its window
-    ends, and finds there what the rows before it come to. So a row is moved four times
-    and a window's two parts once, however many rows a window has; a task must hold no
-    more than sorts of a bucket, which spill. Rows without a time are in no window.
+    beginning of the next. Each row stands in its own bucket at its time and in the bucket
+    before at its time less the width, and asks where its window begins, once for each key
+    in its window: from there on it finds the rows of the bucket, up to there those of the
+    next one, each by running aggregates. So twice the rows and once the groups of the
+    result are moved, however many rows a window has; a task must hold no more than sorts
+    of a bucket, which spill. Whether a key is in a window follows from its last time in
+    the one bucket and its first in the next. Rows without a time are in no window.
     """
     width = (back + ahead) * 1_000_000
     bucket = lambda at: ((at - F.pmod(at, F.lit(width))) / width).cast("long")
-    at, never = F.col("__at"), F.lit(None).cast(df.schema[seq].dataType)
-    low, high, turn = at - back * 1_000_000, at + ahead * 1_000_000, never if ahead else F.col("__w")
-    place = lambda b, begins, order, turn, asks: F.struct(b.alias("b"), F.lit(begins).alias("begins"), order.alias("order"), turn.alias("turn"), F.lit(asks).alias("asks"))
-    places = [place(bucket(at), False, -at, never, False), place(bucket(low), False, -low, never, True), place(bucket(at), True, at, turn, False), place(bucket(high), True, high, turn, True)]
-    inputs = [x.alias(f"__x{i}") for i, (_, x, _, _) in enumerate(asked)]
-    rows = df.select(micros(F.col(ts)).alias("__at"), F.col(seq).alias("__w"), *inputs).where("__at IS NOT NULL")
-    spots = rows.select(F.explode(F.array(*places)).alias("__p"), "__w", *[f"__x{i}" for i in range(len(asked))])
-    own = lambda c: F.when(~F.col("__p.asks"), F.col(c))
-    spots = spots.select("__p.*", "__w", own("__w").alias("__seq"), *[own(f"__x{i}").alias(f"__x{i}") for i in range(len(asked))])
-    before = Window.partitionBy("b", "begins").orderBy("order", "turn", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = [MERGED[name][0](F.col(f"__x{i}"), F.col("__seq")) for i, (name, *_) in enumerate(asked)]
-    found = spots.select("__w", "asks", *[c.over(before).alias(f"__p{i}_{k}") for i, p in enumerate(parts) for k, c in enumerate(p)]).where("asks")
-    whole = [MERGED[name][1]([F.col(f"__p{i}_{k}") for k in range(len(parts[i]))], kind).alias(alias) for i, (name, _, kind, alias) in enumerate(asked)]
-    return found.groupBy("__w").agg(*whole)
+    at, low, names, inputs = F.col("__at"), F.col("__at") - back * 1_000_000, list(keys), [f"__x{i}" for i in range(len(asked))]
+    turn = F.lit(None).cast(df.schema[seq].dataType) if ahead else F.col("__w")
+    rows = df.select(micros(F.col(ts)).alias("__at"), F.col(seq).alias("__w"), *[k.alias(n) for n, k in keys.items()], *[x.alias(n) for (_, x, *_), n in zip(asked, inputs)]).where("__at IS NOT NULL")
+    place = lambda b, p, next_: F.struct(b.alias("b"), p.alias("p"), F.lit(next_).cast("boolean").alias("next"))
+    places = F.array(place(bucket(at), at, False), place(bucket(at) - 1, at - width, True), place(bucket(low), low, None))
+    spots = rows.select(F.explode(places).alias("__p"), turn.alias("turn"), "__w", *names, *inputs)
+    asks = F.col("next").isNull()
+    spots = spots.select("__p.*", "turn", "__w", *names, *inputs).select("b", "p", "next", "turn", "__w", *[F.when(~asks, F.col(n)).alias(n) for n in inputs], *names)
+    if keys:
+        placed = spots.where(~asks)
+        ends = placed.groupBy(F.col("b").alias("__b"), *names).agg(F.max(F.when(~F.col("next"), F.col("p"))).alias("__last"), F.min(F.when(F.col("next"), F.col("p"))).alias("__first"))
+        met = (F.col("b") == F.col("__b")) & ((F.col("__last") >= F.col("p")) | (F.col("__first") <= F.col("p")))
+        spots = placed.union(spots.where(asks).drop(*names).join(ends, met).select(*placed.columns))
+    part = Window.partitionBy("b", *names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = [(~F.col("next"), part.orderBy(F.col("p").desc(), asks)), (F.col("next"), part.orderBy("p", "turn", asks))]
+    counted = [*zip(asked, map(F.col, inputs)), (("count", None, None, "__seen"), F.lit(1))]
+    running = [[[c.over(side) for c in MERGED[name][0](F.when(on, x), F.when(on, F.col("__w")))] for on, side in sides] for (name, *_), x in counted]
+    found = spots.select("__w", *names, asks.alias("__asks"), *[c.alias(f"__p{i}_{s}_{k}") for i, both in enumerate(running) for s, cs in enumerate(both) for k, c in enumerate(cs)])
+    whole = [MERGED[name][1](*[[F.col(f"__p{i}_{s}_{k}") for k in range(len(cs))] for s, cs in enumerate(running[i])], kind).alias(alias) for i, ((name, _, kind, alias), _) in enumerate(counted)]
+    # a key whose first row comes at the time of the window's end, but arrives later, isn't seen
+    return found.where("__asks").select("__w", *names, *whole).where("__seen > 0").drop("__seen")
 
 
 def state(df: DataFrame, seq: str, open_: Column, emit: Column, by: list[Column], graceful: bool = True) -> tuple[DataFrame, list[str]]:

@@ -169,7 +169,8 @@ class Query:
             scope = self._with_state(scope, call, seq)
         df = scope.frame.where(scope.condition(q.where)) if q.where else scope.frame
         parts: list[str] = []
-        slides = q.window and q.window.kind == "sliding" and not q.keys and self.aggregates and all(c.name in aggregates.MERGED for c in self.aggregates)
+        slides = q.window and q.window.kind == "sliding" and self.aggregates and all(c.name in aggregates.MERGED for c in self.aggregates)
+        slides = slides and not any("map<" in scope.type_of(scope.compile(k), k).simpleString() for k in q.keys)  # maps can't be sorted
         if slides:
             parts = ["__w"]
         elif q.window:
@@ -252,7 +253,7 @@ class Query:
         made = [aggregates.AGGREGATES[name](x, kind, F.col(seq)).alias(alias) for name, x, kind, alias in asked]
         if slides:
             back, ahead = (*q.window.numbers, 0)[:2]
-            grouped = windows.slid(df, slides, seq, back, ahead, asked)
+            grouped = windows.slid(df, slides, seq, back, ahead, {n: scope.compile(k) for k, n in keys.items()}, asked)
         else:
             grouped = df.groupBy(*parts, *[scope.compile(k).alias(n) for k, n in keys.items()]).agg(*made)
         out = self._scope(grouped)
